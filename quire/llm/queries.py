@@ -66,7 +66,7 @@ WITH lines AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
 ), placed AS (
   SELECT doc_id, line, unit,
-         CAST(coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at,
+         CAST(coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_char,
          trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\v\\f\\r]+', ' ', 'g')) AS norm
   FROM lines
 ), ranked AS (
@@ -76,7 +76,7 @@ WITH lines AS (
 ), kept AS (
   SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN unit END, chr(10) ORDER BY line), '') AS text,
          count(*) FILTER (WHERE gone) AS n_removed,
-         coalesce(string_agg(CASE WHEN gone THEN at || '-' || (at + length(unit)) END, ',' ORDER BY line), '') AS spans
+         coalesce(string_agg(CASE WHEN gone THEN first_char || '-' || (first_char + length(unit)) END, ',' ORDER BY line), '') AS spans
   FROM ranked GROUP BY doc_id
 )
 SELECT d.doc_id, k.text, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.spans, '') AS spans
