@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, linededup, sentencepiece, sharding, simhash, toxicity, vptree
+from . import bytededup, decontam, htmltext, langid, linededup, sentencepiece, sharding, simhash, toxicity, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytededup.dedup_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_decontamination, op5_simhash, op6_vantage_point, op8_sharding, op9_html_extraction, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_decontamination, op5_simhash, op6_vantage_point, op7_suffix_array, op8_sharding, op9_html_extraction, op10_toxicity)}
 
 
 _LINES_SQL = """
