@@ -18,13 +18,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .training import remainder, texts_of
 
-BITS, SAMPLE, PASSES = 20, 8_000, 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+BITS, PASSES = 20, 4
+#: At most so many training rows with label 0 and with label 1.
+SAMPLE = (8_000, 4_000)
+ALPHA, BETA, L1, L2 = 5.0, 1.0, 4.0, 0.0
 THRESHOLD = 0.7
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -74,21 +76,28 @@ def fit_ftrl(rows, labels, bits: int = BITS, passes: int = PASSES) -> tuple[np.n
     return kept.astype(np.int32), w[kept], float(w[size])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Model from at most ``sample`` labelled rows outside the held-out fold
-    (those of least id hash)."""
+def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE):
+    """Model from at most ``sample`` rows of each label outside the held-out
+    fold (those of least id hash)."""
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
-        .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder(3) != 1))
+        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder(3) != 1))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
+        .withColumn("nth", F.row_number().over(order))
+        .where(F.col("nth") <= F.when(F.col("label") == 1, sample[1]).otherwise(sample[0]))
+        .where(F.col("nth") <= max(sample))
+        .select("doc_id", "label")
     )
-    rows = texts_of(docs, chosen).mapInArrow(_featurise, "doc_id long, label int, x array<int>").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy() * np.int64(-7046029254386353131), kind="stable")
-    x, y = rows.column("x").to_pylist(), rows.column("label").to_pylist()
-    return fit_ftrl([x[i] for i in order], [y[i] for i in order])
+    rows = texts_of(docs, chosen).mapInArrow(_featurise, "doc_id long, label int, x array<int>").toArrow().combine_chunks()
+    if not rows.num_rows:
+        return np.empty(0, np.int32), np.empty(0), 0.0
+    lists = rows.column("x").combine_chunks()
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    ids, y = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy()
+    order = np.argsort(ids * np.int64(-7046029254386353131), kind="stable")
+    return fit_ftrl([values[offsets[i] : offsets[i + 1]] for i in order], y[order])
 
 
 def _scores(model):
@@ -105,7 +114,7 @@ def _scores(model):
     return score_of
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
     model = train(docs, labels, sample)
 
@@ -123,7 +132,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, columns unchanged."""
     model = train(docs, labels, sample)
 
