@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .training import remainder, texts_of
+from .training import least_by_hash, remainder, texts_of
 
 DIMENSIONS, PER_LANGUAGE, SAMPLE, CENTROIDS = 4096, 400, 4_000, 4
 UNKNOWN = "und"
@@ -97,13 +97,13 @@ def _count_rows(batches):
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, centroids: int = CENTROIDS):
     """Model from at most ``per_language`` rows of a language and ``sample``
     rows in all, outside the held-out fold (those of least id hash)."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
+    known = (
         docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.col("lang").alias("label"), "text")
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & F.col("text").isNotNull() & (remainder(4) != 2))
         .select("doc_id", "label")
-        .withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= per_language)
+    )
+    chosen = (
+        least_by_hash(known, per_language)
         .orderBy("nth", "label")
         .limit(sample)
         .groupBy("doc_id")

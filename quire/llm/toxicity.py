@@ -18,10 +18,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .training import remainder, texts_of
+from .training import least_by_hash, remainder, texts_of
 
 BITS, PASSES = 20, 4
 #: At most so many training rows with label 0 and with label 1.
@@ -79,17 +79,13 @@ def fit_ftrl(rows, labels, bits: int = BITS, passes: int = PASSES) -> tuple[np.n
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE):
     """Model from at most ``sample`` rows of each label outside the held-out
     fold (those of least id hash)."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
+    known = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder(3) != 1))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
-        .withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= F.when(F.col("label") == 1, sample[1]).otherwise(sample[0]))
-        .where(F.col("nth") <= max(sample))
-        .select("doc_id", "label")
     )
+    chosen = least_by_hash(known, max(sample)).where(F.col("nth") <= F.when(F.col("label") == 1, sample[1]).otherwise(sample[0])).select("doc_id", "label")
     rows = texts_of(docs, chosen).mapInArrow(_featurise, "doc_id long, label int, x array<int>").toArrow().combine_chunks()
     if not rows.num_rows:
         return np.empty(0, np.int32), np.empty(0), 0.0

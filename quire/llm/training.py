@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,16 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def least_by_hash(rows: DataFrame, limit: int, salts: int = 64) -> DataFrame:
+    """Up to ``limit`` rows of each ``label``, those of least doc_id hash, with
+    their place ``nth``.  Each label is first dealt over ``salts`` parts that
+    keep ``limit`` rows at most, so that none of them meets in one task."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(salts))
+    some = rows.withColumn("_part", part).withColumn("nth", F.row_number().over(Window.partitionBy("label", "_part").orderBy(*order))).where(F.col("nth") <= limit)
+    return some.drop("_part").withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("nth") <= limit)
+
+
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``chosen`` (doc_id, label; bounded, one row per doc_id) with the whole
     text of each document.  Of rows that repeat a doc_id the one with the
