@@ -1,0 +1,60 @@
+"""Readers for the document formats, with explicit schemas so that no read infers one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+OCR = """
+texts array<struct<self_ref:string,label:string,text:string,orig:string,
+  prov:array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double>>>>>,
+tables array<struct<label:string,data:struct<table_cells:array<struct<start_row_offset_idx:int,text:string>>>>>
+"""
+ENRICHED = """
+results array<struct<document:struct<text:string,
+  segments:array<struct<id:string,kind:string,parent:string,children:array<string>,
+    span:struct<start:int,`end`:int>,title:struct<start:int,`end`:int>,code:struct<start:int,`end`:int>>>,
+  crossreferences:array<struct<span:struct<start:int,`end`:int>,start:string,`end`:string>>,
+  terms:array<struct<name:struct<start:int,`end`:int>,meaning:struct<start:int,`end`:int>>>,
+  external_documents:array<struct<name:struct<start:int,`end`:int>,type:string,mentions:array<struct<start:int,`end`:int>>>>>>>
+"""
+GOLD = "queries array<struct<id:string,query:string,gold:array<struct<document_id:string,condition:string,title:string>>,reviewed:boolean>>, scheme string"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read_json(spark: SparkSession, path: str, schema: str, pattern: str = "*.json") -> DataFrame:
+    """Multi-line JSON files under ``path``, each with ``doc_id`` from its name."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", pattern).json(path)
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return rows.withColumn("doc_id", F.regexp_replace(name, r"(_docling_export|_stacked|_enriched)?\.json$", ""))
+
+
+def read_ocr(spark: SparkSession, path: str) -> DataFrame:
+    return read_json(spark, path, OCR)
+
+
+def read_enriched(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Relations ``segment, xref, term, ext_mention`` of annotated documents."""
+    docs = read_json(spark, path, ENRICHED).select("doc_id", F.explode("results.document").alias("d"))
+    seg = docs.select("doc_id", "d.text", F.posexplode("d.segments").alias("seg_ord", "s"))
+    text = lambda span: F.when(span.isNotNull(), F.substring(F.col("text"), span["start"] + 1, span["end"] - span["start"]))
+    segment = seg.select(
+        "doc_id", "seg_ord", "s.id", "s.kind", "s.parent", "s.children", F.col("s.span.start").alias("s"), F.col("s.span.end").alias("e"),
+        text(F.col("s.title")).alias("title_text"), text(F.col("s.code")).alias("code_text"),
+    )
+    x = docs.select("doc_id", "d.text", F.posexplode("d.crossreferences").alias("xref_ord", "x"))
+    xref = x.select("doc_id", "xref_ord", F.col("x.span.start").alias("s"), F.col("x.span.end").alias("e"), text(F.col("x.span")).alias("span_text"), F.col("x.start").alias("start_seg"), F.col("x.end").alias("end_seg"))
+    t = docs.select("doc_id", "d.text", F.explode("d.terms").alias("t"))
+    term = t.select("doc_id", text(F.col("t.name")).alias("name"), text(F.col("t.meaning")).alias("meaning"))
+    e = docs.select("doc_id", "d.text", F.explode("d.external_documents").alias("e")).select("*", F.explode("e.mentions").alias("m"))
+    mention = e.select("doc_id", text(F.col("e.name")).alias("name"), F.coalesce("e.type", F.lit("statute")).alias("type"), F.col("m.start").alias("s"), F.col("m.end").alias("e"))
+    return {"segment": segment, "xref": xref, "term": term, "ext_mention": mention}
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """``query_id, query, document_id, condition, title`` rows of a gold set."""
+    rows = spark.read.schema(GOLD).option("multiLine", True).json(path).select(F.explode("queries").alias("q"))
+    return rows.select(F.col("q.id").alias("query_id"), "q.query", F.explode_outer("q.gold").alias("g")).select("query_id", "query", "g.document_id", "g.condition", "g.title")
