@@ -341,7 +341,8 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     packs = keyed.select("_d", "_t", "text").mapInArrow(_packs(length, gram, n * PACKS), "shard int, segs binary, repeats binary")
     resolved = cut(packs.repartition(n, "shard").mapInArrow(_resolve(hot), _RESOLVED))
     need = resolved.where(F.col("kind") != REPEAT).groupBy("_d", "_t").agg(F.collect_set(F.struct("start", "n", "anchor", "kind")).alias("need"))
-    pieces = keyed.join(need, ["_d", "_t"]).select("_d", "_t", "text", "need").mapInArrow(_fetch(length), _FETCHED)
+    # All columns go along, so that both joins with the documents share one exchange.
+    pieces = keyed.join(need, ["_d", "_t"]).select("doc_id", "_d", "_t", "text", "need").mapInArrow(_fetch(length), _FETCHED)
     found = pieces.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards(length), _RESOLVED)
     repeats = resolved.where(F.col("kind") == REPEAT).union(found).groupBy("_d", "_t").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     return (

@@ -104,12 +104,12 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {_POST}, st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w), df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
-s AS (SELECT query_id, item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+s AS (SELECT query_id, item_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
       FROM p JOIN t USING (token) JOIN df USING (token), st GROUP BY query_id, item_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s)
-SELECT query_id, item_id, round(score, 6) AS score, rank FROM r WHERE rank <= 25""")
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, item_id, round(score, 5) AS score, rank FROM r WHERE rank <= 25""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25_topk(*_texts(spark, d)).withColumn("score", F.round("score", 6))
+    return search.bm25_topk(*_texts(spark, d)).withColumn("score", F.round("score", 5))
 
 
 def _hybrid_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +206,10 @@ def scope_like(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(hit, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", "c_mktsegment").agg(F.count("*").alias("n"))
 
 
-_ALIASES = [(r"(?i)\b(apache|mit|gnu)\b", "LICENSE"), (r"(?i)\brights\s*reserved\b", "RIGHTS"), (r"(?i)\b(version|release)\b", "VERSION"), (r"(?i)\bthe\b", "ENGLISH"), (r"(?i)\b(der|die|das)\b", "GERMAN")]
+_ALIASES = [
+    (rf"(?i)(^|[^\p{{L}}\p{{N}}])({words})([^\p{{L}}\p{{N}}]|$)", target)
+    for words, target in (("apache|mit|gnu", "LICENSE"), (r"rights\s+reserved", "RIGHTS"), ("version|release", "VERSION"), ("the", "ENGLISH"), ("der|die|das", "GERMAN"))
+]
 
 
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{t}'" for p, t in _ALIASES) + " END AS target FROM documents")
