@@ -1,89 +1,133 @@
-"""Line dedup: of equal normalised lines the earliest ranked stays.
-
-Units are the lines of a text (split at ``\\n``).  A unit is normalised by
-lower-casing A-Z, turning runs of ASCII white space into one space and
-trimming; units of fewer than ``min_words`` words are left alone.  MD5 digests
-of units are grouped over the whole corpus; occurrences rank by (doc_id, hash
-of the text, line number) and all but the first go.  What stays is joined by
-``\\n`` again; what went is listed with its offsets in the original text.
+"""Line dedup: of equal normalised lines and sentences the earliest stays.
+
+Passages are often copied into the middle of a line, where hashing whole lines
+cannot see them, so the units are the sentences of each line: a line is cut
+after every run of ``.``, ``!`` or ``?`` (and closing quotes or brackets) that
+white space follows, and a line without one is a single unit.  A unit is
+normalised by lower-casing A-Z, turning runs of ASCII white space into one
+space and trimming; units without a word are passed over.
+
+128-bit digests of units are grouped over the whole corpus; occurrences rank
+by (doc_id, hash of the text, unit number), and all but the first are repeats.
+Repeats that follow one another in a document form a run, across lines too; a
+run of ``min_words`` words or more is removed, shorter ones (common phrases)
+stay.  A unit goes with the white space after it, and a line all of whose
+words went goes as a whole.  Offsets in the original text are retained.
 
 Null text has no unit and stays null.  A text whose units all go becomes the
 empty string.  Null doc_id ranks last.  Rows repeated with id and text are one
-document and get the same result each.  Only digests (no text) are grouped,
-pre-aggregated before the shuffle, so a line in a third of all documents costs
-one row per task there; the join back is split by adaptive skew handling.
+document and get the same result each.  An empty table gives an empty result.
+Only digests (no text) are grouped, pre-aggregated before the shuffle, so a
+sentence in a third of all documents costs one row per task there; the join
+back is split by adaptive skew handling.
 """
 
 from __future__ import annotations
 
-from hashlib import md5
+import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import document_key
 
 MIN_WORDS = 10
-_UNITS = "_d long, _t long, _line int, _start int, _end int, digest binary"
-
-
-def units(text: str | None, min_words: int = MIN_WORDS):
-    """(line number, start, end, digest) of every unit that is long enough."""
-    if not text:
-        return
-    at = 0
-    for line, unit in enumerate(text.split("\n")):
-        end = at + len(unit)
-        if end - at >= 2 * min_words - 1:
-            words = unit.encode("utf-8", "surrogatepass").lower().split()
-            if len(words) >= min_words:
-                yield line, at, end, md5(b" ".join(words)).digest()
-        at = end + 1
-
-
-def _unit_rows(min_words: int):
+_UNIT = re.compile(rb"[^\n]*?[.!?]+[\"')\]]*(?:[ \t\r\x0b\x0c]+|(?=\n)|\Z)|[^\n]+")
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def _text_bytes(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if text else b""
+
+
+def _unit_rows(batches):
+    digest = xxhash.xxh3_128_digest
+    for b in batches:
+        ids, hashes, counts, numbers, digests = b.column("_d").to_numpy(), b.column("_t").to_numpy(), [], [], []
+        for text in b.column("text").to_pylist():
+            before = len(numbers)
+            for i, unit in enumerate(_UNIT.findall(_text_bytes(text).lower())):  # acts on ASCII only
+                if words := unit.split():
+                    numbers.append(i)
+                    digests.append(digest(b" ".join(words)))
+            counts.append(len(numbers) - before)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ids, counts)), pa.array(np.repeat(hashes, counts)), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())],
+            names=["_d", "_t", "_unit", "digest"],
+        )
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """``_d, _t, units``: numbers of each document's units that have come before."""
+    found = docs.select(*document_key(), "text").mapInArrow(_unit_rows, "_d long, _t long, _unit int, digest binary")
+    place = F.struct("_d", "_t", "_unit")
+    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    again = found.join(first, "digest").where(place != F.col("first"))
+    return again.groupBy("_d", "_t").agg(F.collect_set("_unit").alias("units"))
+
+
+def cut(text: str, repeated: set[int], min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]]]:
+    """(what stays of a text, code point spans of the units removed)."""
+    data = _text_bytes(text)
+    units = [(m.start(), m.end(), len(m[0].split())) for m in _UNIT.finditer(data)]
+    gone, run, size = set(), [], 0
+    for i, (_, _, words) in enumerate(units):
+        if i in repeated:
+            run.append(i)
+            size += words
+        elif words:
+            if size >= min_words:
+                gone.update(run)
+            run, size = [], 0
+    if size >= min_words:
+        gone.update(run)
+    if not gone:
+        return text, []
+    lines, spans, held, words_left, cut_here = [], [], [], 0, False
+    at = chars = i = 0
+    for line in data.split(b"\n"):
+        end = at + len(line)
+        held, words_left, cut_here = [], 0, False
+        while i < len(units) and units[i][0] < end:
+            a, b, words = units[i]
+            n = len(data[a:b].decode("utf-8", "surrogatepass"))
+            if i in gone:
+                spans.append((chars, chars + n))
+                cut_here = True
+            else:
+                held.append(data[a:b])
+                words_left += words
+            chars += n
+            i += 1
+        if words_left or not cut_here:
+            lines.append(b"".join(held))
+        at, chars = end + 1, chars + 1
+    return b"\n".join(lines).decode("utf-8", "surrogatepass"), spans
+
+
+def _cut_rows(min_words: int):
     def rows(batches):
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for b in batches:
-            out = [[] for _ in types]
-            for d, t, text in zip(b.column("_d").to_pylist(), b.column("_t").to_pylist(), b.column("text").to_pylist()):
-                for unit in units(text, min_words):
-                    for column, value in zip(out, (d, t, *unit)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], names=["_d", "_t", "_line", "_start", "_end", "digest"])
+            texts, spans = [], []
+            for text, units in zip(b.column("_row").field("text").to_pylist(), b.column("units").to_pylist()):
+                kept, gone = cut(text, set(units), min_words) if units else (text, [])
+                texts.append(kept)
+                spans.append([{"start": x, "end": y} for x, y in gone] or None)
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(texts, pa.string()), pa.array(spans, kind)], names=["_row", "_text", "_spans"])
 
     return rows
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``_d, _t, lines, spans`` of the documents that lose lines."""
-    found = docs.select(*document_key(), "text").mapInArrow(_unit_rows(min_words), _UNITS)
-    first = (
-        found.groupBy("digest")
-        .agg(F.min(F.struct("_d", "_t", "_line")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("digest", "first")
-    )
-    return (
-        found.join(first, "digest")
-        .where(F.struct("_d", "_t", "_line") != F.col("first"))
-        .groupBy("_d", "_t")
-        .agg(F.sort_array(F.collect_set(F.struct("_line", "_start", "_end"))).alias("cuts"))
-        .select("_d", "_t", F.col("cuts._line").alias("_lines"), F.transform("cuts", lambda c: F.struct(c["_start"].alias("start"), c["_end"].alias("end"))).alias("_spans"))
-    )
-
-
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` with ``text`` cut, plus ``removed_spans`` (null
     where nothing went): array of (start, end) in code points of the original."""
-    cuts = repeated_lines(docs, min_words)
-    lines = F.split(F.col("_row.text"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lines"))
-    kept = F.when(F.col("_lines").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), *document_key())
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), *document_key()).join(repeats(docs), ["_d", "_t"], "left").select("_row", "units")
+    kind = T.StructType([T.StructField("_row", docs.schema), T.StructField("_text", T.StringType()), T.StructField("_spans", _SPANS)])
+    done = packed.mapInArrow(_cut_rows(min_words), kind)
     columns = [c for c in docs.columns if c != "removed_spans"]
-    return packed.join(cuts, ["_d", "_t"], "left").select(
-        *[kept.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns],
-        F.col("_spans").alias("removed_spans"),
-    )
+    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns], F.col("_spans").alias("removed_spans"))

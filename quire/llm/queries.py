@@ -21,7 +21,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text`` (what stays), ``n_removed`` lines and their offsets as ``spans``."""
+    """``doc_id, text`` (what stays), ``n_removed`` units and their offsets as ``spans``."""
     done = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     span = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return done.select(
@@ -64,24 +64,34 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_decontamination, op5_simhash, op6_vantage_point, op7_suffix_array, op8_sharding, op9_html_extraction, op10_toxicity)}
 
 
-_LINES_SQL = """
+_LINES_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS unit
+  SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS body
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+), pieces AS (
+  SELECT doc_id, line, generate_subscripts(ps, 1) AS piece, unnest(ps) AS unit
+  FROM (SELECT doc_id, line, regexp_extract_all(body, '.*?[.!?]+["'')\]]*(?:[ \t\r\x0b\x0c]+|$)|.+') AS ps FROM lines WHERE body <> '')
 ), placed AS (
-  SELECT doc_id, line, unit,
-         CAST(coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_char,
-         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\v\\f\\r]+', ' ', 'g')) AS norm
-  FROM lines
+  SELECT doc_id, line, piece, unit,
+         CAST(coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY line, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + line - 1 AS BIGINT) AS first_char,
+         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\x0b\x0c]+', ' ', 'g')) AS norm
+  FROM pieces
 ), ranked AS (
-  SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 >= 10
-         AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, line) > 1 AS gone
-  FROM placed
+  SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS words, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line, piece) > 1 AS again FROM placed WHERE norm <> ''
+), runs AS (
+  SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line, piece) AS run FROM ranked
+), judged AS (
+  SELECT doc_id, line, piece, again AND sum(CASE WHEN again THEN words ELSE 0 END) OVER (PARTITION BY doc_id, run) >= 10 AS gone FROM runs
+), marked AS (
+  SELECT p.*, coalesce(j.gone, FALSE) AS gone, j.gone IS NOT NULL AND NOT j.gone AS holds FROM placed p LEFT JOIN judged j USING (doc_id, line, piece)
+), by_line AS (
+  SELECT doc_id, line, coalesce(string_agg(unit, '' ORDER BY piece) FILTER (WHERE NOT gone), '') AS body, bool_or(gone) AND NOT bool_or(holds) AS emptied,
+         count(*) FILTER (WHERE gone) AS n_removed, string_agg(first_char || '-' || (first_char + length(unit)), ',' ORDER BY piece) FILTER (WHERE gone) AS spans
+  FROM marked GROUP BY doc_id, line
 ), kept AS (
-  SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN unit END, chr(10) ORDER BY line), '') AS text,
-         count(*) FILTER (WHERE gone) AS n_removed,
-         coalesce(string_agg(CASE WHEN gone THEN first_char || '-' || (first_char + length(unit)) END, ',' ORDER BY line), '') AS spans
-  FROM ranked GROUP BY doc_id
+  SELECT l.doc_id, coalesce(string_agg(coalesce(b.body, ''), chr(10) ORDER BY line) FILTER (WHERE NOT coalesce(emptied, FALSE)), '') AS text,
+         CAST(coalesce(sum(n_removed), 0) AS BIGINT) AS n_removed, coalesce(string_agg(spans, ',' ORDER BY line) FILTER (WHERE spans IS NOT NULL), '') AS spans
+  FROM lines l LEFT JOIN by_line b USING (doc_id, line) GROUP BY l.doc_id
 )
 SELECT d.doc_id, k.text, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.spans, '') AS spans
 FROM documents d LEFT JOIN kept k USING (doc_id)
