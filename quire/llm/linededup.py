@@ -19,7 +19,7 @@ empty string.  Null doc_id ranks last.  Rows repeated with id and text are one
 document and get the same result each.  An empty table gives an empty result.
 Only digests (no text) are grouped, pre-aggregated before the shuffle, so a
 sentence in a third of all documents costs one row per task there; the join
-back is split by adaptive skew handling.
+back with the first occurrences is split by adaptive skew handling.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut as materialise
 from .common import document_key
 
 MIN_WORDS = 10
@@ -65,7 +66,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """``_d, _t, units``: numbers of each document's units that have come before."""
     found = docs.select(*document_key(), "text").mapInArrow(_unit_rows, "_d long, _t long, _unit int, digest binary")
     place = F.struct("_d", "_t", "_unit")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # Written out, so that both sides of the join are plain exchanges, which adaptive execution can split.
+    first = materialise(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
     again = found.join(first, "digest").where(place != F.col("first"))
     return again.groupBy("_d", "_t").agg(F.collect_set("_unit").alias("units"))
 
