@@ -42,6 +42,17 @@ def document_key() -> list[Column]:
     ]
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """``docs`` as one struct column ``_row``, so that no name of its columns
+    can clash with ours, and ``more`` columns."""
+    return docs.select(F.struct(*map(column, docs.columns)).alias("_row"), *more)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of ``edges`` (u long, v long) by alternating large and small
     stars: returns ``(node, label)`` with label the least node of the

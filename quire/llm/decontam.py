@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
+
 SIMILARITY, RECALL, SHARE, SAMPLED, WALKS = 0.8, 0.999, 0.75, 2, 32
 #: Items that travel with one pass over the documents; more take more passes.
 ITEM_BYTES = 32 << 20
@@ -220,12 +222,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that leak no item, columns unchanged."""
+    rows = packed(docs)
     for block in _item_blocks(benchmark):
         index = Index(block, similarity)
 
         def scan(batches, index=index):
             for b in batches:
-                yield b.filter(pa.array([not index.leaks(text) for text in b.column("text").to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not index.leaks(text) for text in b.column("_row").field("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(scan, docs.schema)
-    return docs
+        rows = rows.mapInArrow(scan, rows.schema)
+    return rows.select("_row.*")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut as materialise
-from .common import document_key
+from .common import document_key, packed
 
 MIN_WORDS = 10
 _UNIT = re.compile(rb"[^\n]*?[.!?]+[\"')\]]*(?:[ \t\r\x0b\x0c]+|(?=\n)|\Z)|[^\n]+")
@@ -128,8 +128,8 @@ def _cut_rows(min_words: int):
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` with ``text`` cut, plus ``removed_spans`` (null
     where nothing went): array of (start, end) in code points of the original."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), *document_key()).join(repeats(docs), ["_d", "_t"], "left").select("_row", "units")
+    rows = packed(docs, *document_key()).join(repeats(docs), ["_d", "_t"], "left").select("_row", "units")
     kind = T.StructType([T.StructField("_row", docs.schema), T.StructField("_text", T.StringType()), T.StructField("_spans", _SPANS)])
-    done = packed.mapInArrow(_cut_rows(min_words), kind)
+    done = rows.mapInArrow(_cut_rows(min_words), kind)
     columns = [c for c in docs.columns if c != "removed_spans"]
     return done.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns], F.col("_spans").alias("removed_spans"))

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import packed
+
 MODEL = os.environ.get("QUIRE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 CACHED_WORDS = 400_000  # encodings kept by a task; beyond it starts afresh
@@ -340,39 +342,38 @@ def _blocks(texts: list[str | None], size: int = 4 << 20):
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """All columns of ``docs`` and ``tokens`` (array of int, empty for null text)."""
     codec = load(docs.sparkSession, path)
-    columns = [c for c in docs.columns if c != "tokens"]
 
     def rows(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts = b.column("_row").field("text").to_pylist()
             for x, y in _blocks(texts):
                 ids, offsets = codec.encode_batch(texts[x:y])
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(x, y - x) for c in columns), tokens], names=[*columns, "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column("_row").slice(x, y - x), tokens], names=["_row", "tokens"])
 
-    chosen = docs.select(*columns)
-    return chosen.mapInArrow(rows, _with(chosen.schema, "tokens", T.ArrayType(T.IntegerType())))
+    return _added(docs.drop("tokens"), rows, "tokens", T.ArrayType(T.IntegerType()))
 
 
-def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(name, kind)])
+def _added(docs: DataFrame, rows, name: str, kind: T.DataType) -> DataFrame:
+    """``docs`` with the column ``name`` that ``rows`` makes."""
+    whole = packed(docs)
+    done = whole.mapInArrow(rows, T.StructType([*whole.schema.fields, T.StructField(name, kind)]))
+    return done.select("_row.*", name)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """All columns of ``encoded`` and ``decoded``, the text of its ``tokens``."""
     codec = load(encoded.sparkSession, path)
-    columns = [c for c in encoded.columns if c != "decoded"]
 
     def rows(batches):
         for b in batches:
-            tokens = b.column("tokens")
+            tokens = b.column("_row").field("tokens")
             lists = [np.asarray(x or (), np.int64) for x in tokens.to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
             texts = codec.decode_batch(np.concatenate(lists) if lists else np.empty(0, np.int64), offsets)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string())], names=[*columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(texts, pa.string())], names=["_row", "decoded"])
 
-    chosen = encoded.select(*columns)
-    return chosen.mapInArrow(rows, _with(chosen.schema, "decoded", T.StringType()))
+    return _added(encoded.drop("decoded"), rows, "decoded", T.StringType())
 
 
 def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:

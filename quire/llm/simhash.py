@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, document_key
+from .common import connected_components, cut, document_key, packed
 
 SHINGLE, SEED, DISTANCE, BUCKET = 3, 42, 2, 32
 WIDTHS = (22, 21, 21)
@@ -215,7 +215,7 @@ def keep_representatives(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         .agg(F.min("least").alias("least"))
         .select("least.*")
     )
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), *document_key()).join(kept, ["_d", "_t"])
-    once = packed.where("n = 1").select("_row.*")
-    repeated = packed.where("n > 1").groupBy("_d", "_t").agg(F.first("_row").alias("_row")).select("_row.*")
+    stay = packed(docs, *document_key()).join(kept, ["_d", "_t"])
+    once = stay.where("n = 1").select("_row.*")
+    repeated = stay.where("n > 1").groupBy("_d", "_t").agg(F.first("_row").alias("_row")).select("_row.*")
     return once.unionByName(repeated)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
 from .training import least_by_hash, remainder, texts_of
 
 BITS, PASSES = 20, 4
@@ -135,7 +136,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAM
     def rows(batches):
         score_of = _scores(model)
         for b in batches:
-            stay = [bool(score_of(t) < THRESHOLD) for t in b.column("text").to_pylist()]
+            stay = [bool(score_of(t) < THRESHOLD) for t in b.column("_row").field("text").to_pylist()]
             yield b.filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    whole = packed(docs)
+    return whole.mapInArrow(rows, whole.schema).select("_row.*")
