@@ -113,9 +113,14 @@ def _runs(keys: np.ndarray, values: np.ndarray):
     return keys[np.concatenate(([0], cuts))] if len(keys) else keys, np.split(values, cuts)
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from the first component to the last."""
+    return np.add.accumulate(a * b, axis=1)[:, -1]
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of rows in double precision, the same whatever else is compared."""
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    return _dot(a, b) / (np.sqrt(_dot(a, a)) * np.sqrt(_dot(b, b)))
 
 
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float):
