@@ -310,7 +310,7 @@ class Chain:
         self.weights, self.bias, self.moves = weights, bias, moves
 
     @staticmethod
-    def fit(sequences: list[list[list[int]]], labels: list[list[int]], rounds: int = 120, rate: float = 0.1, l2: float = 1e-3):
+    def fit(sequences: list[list[list[int]]], labels: list[list[int]], rounds: int = 300, rate: float = 0.1, l2: float = 1e-5):
         """Maximum likelihood by Adam on exact forward-backward gradients, all pages at once."""
         n, longest = len(sequences), max(map(len, sequences))
         x = np.zeros((n, longest, N_FEATURES), np.float32)

@@ -43,7 +43,7 @@ def test_held_out_pages():
         want = "\n".join(b[0] for b, label in zip(found, labels) if label)
         total += 1
         right += extract(page) == want
-    assert right >= 0.9 * total
+    assert right >= 0.95 * total
 
 
 def test_viterbi_finds_the_best_labelling():
@@ -66,7 +66,7 @@ def test_tables(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == pages.count()
     assert got.where("text is null or n_chars <> length(text)").count() == 0
-    assert got.where("text rlike '(?i)<(p|div|script)|cookie|all rights reserved'").count() == 0
+    assert got.where("text rlike '(?i)<(p|div|script)|we use cookies|&copy;'").count() == 0
     odd = spark.createDataFrame([(1, None, None, 0), (1, None, None, 0), (None, "u", "", 0), (2, "u", PAGE, 0), (3, "u", "<nav><a>x</a></nav>", 0)], "page_id long, url string, html string, text int")
     rows = htmltext.main_text(odd).collect()
     assert sorted(len(r["text"]) for r in rows) == [0, 0, 0, 0, len(TEXT)] and htmltext.main_text(odd.where("false")).count() == 0
