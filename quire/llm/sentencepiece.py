@@ -27,6 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -327,7 +328,7 @@ def load(spark, path: str = MODEL) -> Codec:
     return Codec(read_model(data))
 
 
-def _blocks(texts: list[str | None], size: int = 4 << 20):
+def _blocks(texts: list[str | None], size: int = 1 << 20):
     """Ranges of texts of about ``size`` characters."""
     a, held = 0, 0
     for i, t in enumerate(texts):
@@ -339,9 +340,8 @@ def _blocks(texts: list[str | None], size: int = 4 << 20):
         yield a, len(texts)
 
 
-def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """All columns of ``docs`` and ``tokens`` (array of int, empty for null text)."""
-    codec = load(docs.sparkSession, path)
+def _encoded(codec: Codec, decode: bool):
+    """Arrow batches of rows to batches with their tokens and, if asked for, decoded texts."""
 
     def rows(batches):
         for b in batches:
@@ -349,31 +349,44 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
             for x, y in _blocks(texts):
                 ids, offsets = codec.encode_batch(texts[x:y])
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("_row").slice(x, y - x), tokens], names=["_row", "tokens"])
+                back = [pa.array(codec.decode_batch(ids, offsets), pa.string())] if decode else []
+                yield pa.RecordBatch.from_arrays([b.column("_row").slice(x, y - x), tokens, *back], names=["_row", "tokens", *["decoded"][: len(back)]])
 
-    return _added(docs.drop("tokens"), rows, "tokens", T.ArrayType(T.IntegerType()))
+    return rows
 
 
-def _added(docs: DataFrame, rows, name: str, kind: T.DataType) -> DataFrame:
-    """``docs`` with the column ``name`` that ``rows`` makes."""
+def _added(docs: DataFrame, rows, **kinds: T.DataType) -> DataFrame:
+    """``docs`` with the columns that ``rows`` makes."""
     whole = packed(docs)
-    done = whole.mapInArrow(rows, T.StructType([*whole.schema.fields, T.StructField(name, kind)]))
-    return done.select("_row.*", name)
+    done = whole.mapInArrow(rows, T.StructType([*whole.schema.fields, *(T.StructField(n, k) for n, k in kinds.items())]))
+    return done.select("_row.*", *kinds)
+
+
+def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """All columns of ``docs`` and ``tokens`` (array of int, empty for null text)."""
+    return _added(docs.drop("tokens"), _encoded(load(docs.sparkSession, path), False), tokens=T.ArrayType(T.IntegerType()))
+
+
+def encode_and_decode(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the rows."""
+    kinds = {"tokens": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+    return _added(docs.drop(*kinds), _encoded(load(docs.sparkSession, path), True), **kinds)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """All columns of ``encoded`` and ``decoded``, the text of its ``tokens``."""
+    """All columns of ``encoded`` and ``decoded``, the text of its ``tokens``
+    (a null list: the empty text; a null token: the unknown one)."""
     codec = load(encoded.sparkSession, path)
 
     def rows(batches):
         for b in batches:
             tokens = b.column("_row").field("tokens")
-            lists = [np.asarray(x or (), np.int64) for x in tokens.to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
-            texts = codec.decode_batch(np.concatenate(lists) if lists else np.empty(0, np.int64), offsets)
+            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+            ids = pc.fill_null(tokens.flatten(), codec.unknown).to_numpy()
+            texts = codec.decode_batch(ids, np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))))
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(texts, pa.string())], names=["_row", "decoded"])
 
-    return _added(encoded.drop("decoded"), rows, "decoded", T.StringType())
+    return _added(encoded.drop("decoded"), rows, decoded=T.StringType())
 
 
 def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:

@@ -104,6 +104,10 @@ def test_tables(spark, sf_dir):
     docs = odd.clashing(spark)
     both = S.decode(S.encode(docs))
     assert sorted(both.columns) == sorted(docs.columns) and both.count() == docs.count()
+    once = S.encode_and_decode(docs)
+    assert once.columns == both.columns and sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
+    odd_tokens = spark.createDataFrame([(None,), ([],), ([None],)], "tokens array<int>")
+    assert [r["decoded"] for r in S.decode(odd_tokens).collect()] == ["", "", " ⁇ "[1:]]
     assert both.where("text <> replace(decoded, ' ', '▁') and text not like '% %'").count() == 0
     assert S.digest(odd.empty(spark)).count() == 0 and S.decode(S.encode(odd.empty(spark))).count() == 0
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
