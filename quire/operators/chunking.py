@@ -53,3 +53,25 @@ def oversize_advice(items: DataFrame, limit: int) -> DataFrame:
     return over.withColumn("advice", F.when(F.col("n_children") > 0, "structured summary").otherwise("overlapping chunks")).withColumn(
         "n_chunks", F.when(F.col("n_children") > 0, F.lit(1)).otherwise(F.floor(F.col("length") / max(1, limit - 5000)) + 1).cast("long")
     )
+
+
+def chunk_text(chunks: DataFrame, cache: DataFrame) -> DataFrame:
+    """Text of each chunk (``text_sha256, breadcrumb, text_full``): the cached
+    one, else breadcrumb and full text, else the empty string."""
+    fallback = F.concat("breadcrumb", F.lit("\n\n"), "text_full")
+    found = chunks.join(cache.select("text_sha256", F.col("text").alias("_text")).dropDuplicates(["text_sha256"]), "text_sha256", "left")
+    return found.withColumn("text", F.coalesce("_text", fallback, F.lit(""))).drop("_text")
+
+
+def text_cache(chunks: DataFrame) -> DataFrame:
+    """``text_sha256, text``: every distinct text once."""
+    return chunks.where("text is not null").select(F.sha2("text", 256).alias("text_sha256"), "text").dropDuplicates(["text_sha256"])
+
+
+def segmentation_report(chunks: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Per group: sources, how many were cut, and their parts (``chunks`` of
+    ``pack``; ``groups``: source_id and the group)."""
+    sources = chunks.groupBy("source_id").agg(F.max("total_parts").alias("_parts"))
+    return groups.join(sources, "source_id").groupBy(group).agg(
+        F.count("*").alias("n_sources"), F.count_if(F.col("_parts") > 1).alias("n_cut"), F.sum(F.when(F.col("_parts") > 1, F.col("_parts")).otherwise(0)).alias("n_fragments")
+    )

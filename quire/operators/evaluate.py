@@ -122,3 +122,18 @@ def missing(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFram
     a = expected.select(*keys).distinct().join(actual.select(*keys), keys, "left_anti").withColumn("side", F.lit("expected"))
     b = actual.select(*keys).distinct().join(expected.select(*keys), keys, "left_anti").withColumn("side", F.lit("actual"))
     return a.unionByName(b)
+
+
+def build_sums(previous: DataFrame, current: DataFrame, content: str) -> DataFrame:
+    """One row: nodes and characters of either build and their differences."""
+    a, b = (df.agg(F.count("*").alias(f"nodes_{name}"), F.coalesce(F.sum(F.length(content)), F.lit(0)).alias(f"chars_{name}")) for name, df in (("before", previous), ("after", current)))
+    return a.join(F.broadcast(b)).withColumns({"nodes_delta": F.col("nodes_after") - F.col("nodes_before"), "chars_delta": F.col("chars_after") - F.col("chars_before")})
+
+
+def baseline_distribution(items: DataFrame, steps: int = 5) -> DataFrame:
+    """Mean, population deviation and range of the cosine of ``steps`` pairs
+    per item (``item_id, vec``), each with the items that many ids further."""
+    each = items.select("item_id", F.col("vec").alias("_other"), F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_step"))
+    ahead = each.select((F.col("item_id") + F.col("_step")).alias("item_id"), "_other")
+    c = items.join(ahead, "item_id").select(vector.cosine(F.col("vec"), F.col("_other")).alias("c"))
+    return c.agg(F.count("c").alias("n_pairs"), F.avg("c").alias("mean"), F.stddev_pop("c").alias("deviation"), F.min("c").alias("low"), F.max("c").alias("high"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import tokens
+
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """``table_name, n``: one row for each table."""
@@ -52,3 +54,20 @@ def coalesce_update(rows: DataFrame, updates: DataFrame, key: str, column: str)
     """``rows`` with ``column`` replaced where ``updates`` has a value."""
     new = updates.select(key, F.col(column).alias("_new"))
     return rows.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def best_match(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
+    """``name, match, score``: for every name of ``left`` the name of ``right``
+    that shares most of its words, ties to the one that sorts first; null if
+    none shares any.  The join is by word, so nothing is paired that shares none."""
+    words = lambda df, alias: df.select(F.col(name).alias(alias)).distinct().select(alias, F.explode(F.array_distinct(tokens(F.col(alias)))).alias("_word"))
+    shared = words(left, "name").join(words(right, "match"), "_word").groupBy("name", "match").agg(F.count("*").alias("score"))
+    order = Window.partitionBy("name").orderBy(F.col("score").desc(), "match")
+    best = shared.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    return left.select(F.col(name).alias("name")).distinct().join(best, "name", "left")
+
+
+def first_per_key(rows: DataFrame, key: Column, *order: str) -> DataFrame:
+    """The first row of each key in ``order``; rows with an empty key stay out."""
+    ranked = rows.withColumn("_key", key).where("_key <> ''").withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+    return ranked.where("_place = 1").drop("_place").withColumnRenamed("_key", "key")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEPARATOR = " › "
@@ -103,3 +103,24 @@ def hierarchy(nodes: DataFrame, parent_kind: str = "part", child_kind: str = "co
         "node_id", "ordinal", display.alias("display_title"), (F.col("ordinal") % palette).cast("int").alias("colour"),
         F.coalesce(F.size("children"), F.lit(0)).alias("n_children"), "children",
     )
+
+
+def filter_parts(nodes: DataFrame, needle: str, parent_kind: str = "part", child_kind: str = "condition") -> DataFrame:
+    """Parents and children whose title holds ``needle`` in any case; a parent
+    also stays for a child that does, and then only with such children."""
+    hit = F.contains(F.lower("title"), F.lit(needle.lower()))
+    kids = nodes.where((F.col("kind") == child_kind) & hit).select("node_id", "parent_id", "title")
+    for_kids = kids.select(F.col("parent_id").alias("node_id")).distinct().withColumn("_kept", F.lit(True))
+    tops = nodes.where(F.col("kind") == parent_kind).join(for_kids, "node_id", "left").where(hit | F.col("_kept")).select("node_id", "parent_id", "title")
+    return tops.unionByName(kids)
+
+
+def without_parent_kind(nodes: DataFrame, kind: str, excluded: str) -> DataFrame:
+    """Nodes of ``kind`` whose parent (if any) is not of kind ``excluded``."""
+    parents = nodes.select(F.col("node_id").alias("parent_id"), F.col("kind").alias("_parent_kind"))
+    return nodes.where(F.col("kind") == kind).join(parents, "parent_id", "left").where(F.col("_parent_kind").isNull() | (F.col("_parent_kind") != excluded)).drop("_parent_kind")
+
+
+def sibling_ordinals(nodes: DataFrame, *order: str) -> DataFrame:
+    """Adds ``place``: from 0 among the children of a node, in ``order``."""
+    return nodes.withColumn("place", F.row_number().over(Window.partitionBy("parent_id").orderBy(*order)) - 1)
