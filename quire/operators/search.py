@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import models
 from quire.functions import vector
-from quire.functions.text import tokens
+from quire.functions.text import question_route, tokens
 
 #: Broadcast bound of a query side, by the optimiser's size estimate.
 QUERY_BYTES = 64 << 20
@@ -120,3 +121,19 @@ def evidence(ranked: DataFrame, items: DataFrame, limit: int = 3500) -> DataFram
     """``query_id, evidence``: numbered sources with text up to ``limit`` characters."""
     rows = ranked.join(items, "item_id").select("query_id", "rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.left(F.col("text"), F.lit(limit))).alias("block"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda r: r["block"]), "\n\n---\n\n").alias("evidence"))
+
+
+def answers(queries: DataFrame, evidence: DataFrame, model, batch: int = 10) -> DataFrame:
+    """``query_id, route, status, answer``: queries (query_id, text) that ask
+    for an explanation go to ``model`` (a batch function of prompts) with their
+    evidence; the others and those without evidence get no answer, and an empty
+    or failed one is ``empty_response``."""
+    rows = queries.select("query_id", "text", question_route(F.col("text")).alias("route")).join(evidence, "query_id", "left")
+    asks = (F.col("route") == "synthesis") & F.col("evidence").isNotNull()
+    prompts = rows.where(asks).select("query_id", F.concat(F.col("text"), F.lit("\n\n"), F.col("evidence")).alias("prompt"))
+    told = models.apply_batches(prompts, "prompt", "answer", "string", model, batch).select("query_id", "answer")
+    status = (
+        F.when(F.col("evidence").isNull(), "no_evidence").when(F.col("route") == "retrieval", "sources_only")
+        .when(F.coalesce(F.trim("answer"), F.lit("")) == "", "empty_response").otherwise("answered")
+    )
+    return rows.join(told, "query_id", "left").select("query_id", "route", status.alias("status"), "answer")

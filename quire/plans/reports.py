@@ -308,3 +308,27 @@ def accounted_lines(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "events").select("user_id", F.col("event_id").alias("line_id"))
     merged = raw.where("line_id % 10 <> 3").withColumn("absorbed", F.expr("CASE WHEN line_id % 10 = 7 THEN array(line_id) ELSE CAST(array() AS ARRAY<BIGINT>) END"))
     return validate.accounted(raw, merged, ["user_id"])
+
+
+# -------------------------------------------------------------------- answers
+
+_ROUTE = r"""CASE WHEN regexp_matches(q, '(?i)\b(explain|describe|outline|summari[sz]e|compare|contrast|why|in practice|overall|walk me through|implications?|relationship)\b')
+  OR regexp_matches(q, '(?i)\bhow\s+(does|do|are|is|would|can)\b') OR regexp_matches(q, '(?i)\bwhat\s+(are|is)\b.*\b(work|process|effect|implication|requirements?)\b') THEN 'synthesis' ELSE 'retrieval' END"""
+
+
+@query(rf"""
+WITH b AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'Explain ' || text ELSE text END AS text FROM benchmark),
+w AS (SELECT doc_id AS item_id, {Q._TOKENS.format('text')} AS ws FROM documents WHERE text IS NOT NULL),
+p AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(ws) AS token FROM w) GROUP BY ALL),
+t AS (SELECT DISTINCT item_id AS query_id, unnest({Q._TOKENS.format('text')}) AS token FROM b),
+s AS (SELECT query_id, item_id, sum(tf) AS score FROM p JOIN t USING (token) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s),
+v AS (SELECT query_id, string_agg('[' || rank || '] ' || left(text, 3500), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS evidence FROM r JOIN documents ON doc_id = item_id WHERE rank <= 3 GROUP BY 1),
+x AS (SELECT item_id AS query_id, {_ROUTE.replace('(q,', "(trim(regexp_replace(text, '\\s+', ' ', 'g')),")} AS route, text, evidence FROM b LEFT JOIN v ON v.query_id = item_id)
+SELECT query_id, route, CASE WHEN evidence IS NULL THEN 'no_evidence' WHEN route = 'retrieval' THEN 'sources_only' ELSE 'answered' END AS status,
+  CASE WHEN route = 'synthesis' THEN left(text || chr(10) || chr(10) || evidence, 100) END AS answer FROM x""")
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Routed questions over their evidence; the stand-in model gives back the start of its prompt."""
+    q, items = Q._texts(spark, d)
+    q = q.withColumn("text", F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("Explain "), "text")).otherwise(F.col("text")))
+    return search.answers(q, search.evidence(search.lexical_topk(q, items, 3), items), lambda prompts: [p[:100] for p in prompts])

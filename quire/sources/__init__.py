@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,33 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """``query_id, query, document_id, condition, title`` rows of a gold set."""
     rows = spark.read.schema(GOLD).option("multiLine", True).json(path).select(F.explode("queries").alias("q"))
     return rows.select(F.col("q.id").alias("query_id"), "q.query", F.explode_outer("q.gold").alias("g")).select("query_id", "query", "g.document_id", "g.condition", "g.title")
+
+
+def read_stacked(spark: SparkSession, path: str, max_depth: int = 50) -> dict[str, DataFrame]:
+    """Relations ``document, node, annex_item`` of stacked documents, whose tree
+    is of any depth.  Nodes come with a path of ordinals (pre-order when
+    sorted), their parent's path, and ``text_full`` where the file has it."""
+    rows = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.parse_json("value").alias("j"))
+
+    def at(name: str, kind: str = "string") -> F.Column:
+        return F.try_variant_get("j", f"$.document.{name}", kind)
+
+    document = rows.select(at("id").alias("document_id"), *[at(c).alias(c) for c in "title scheme round version source_file source_sha256 parser_version".split()], at("page_count", "int").alias("page_count"))
+    view = f"stacked_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    fields = {"kind": "string", "number": "string", "title": "string", "page": "int", "line_id": "int", "text_full": "string"}
+
+    def picks(v: str) -> str:
+        return ", ".join(f"try_variant_get({v}, '$.{n}', '{k}')" for n, k in fields.items())
+
+    node = spark.sql(f"""
+        WITH RECURSIVE walk (document_id, path, parent_path, depth, {", ".join(fields)}, children) MAX RECURSION LEVEL {max_depth + 1} AS (
+          SELECT variant_get(j, '$.document.id', 'string'), array(0), CAST(NULL AS ARRAY<INT>), 0, {picks("try_variant_get(j, '$.main_body', 'variant')")}, try_variant_get(j, '$.main_body.children', 'variant') FROM {view}
+          UNION ALL
+          SELECT w.document_id, concat(w.path, array(c.pos)), w.path, w.depth + 1, {picks("c.value")}, try_variant_get(c.value, '$.children', 'variant')
+          FROM walk w, LATERAL variant_explode(w.children) c
+        ) SELECT document_id, path, parent_path, depth, {", ".join(fields)} FROM walk""")
+    annex = spark.sql(f"""
+        SELECT variant_get(j, '$.document.id', 'string') AS document_id, CAST(a.key AS INT) AS annex_id, try_variant_get(a.value, '$.text', 'string') AS text, try_variant_get(a.value, '$.label', 'string') AS label
+        FROM {view}, LATERAL variant_explode(try_variant_get(j, '$.annexes', 'variant')) a""")
+    return {"document": document, "node": node, "annex_item": annex}
