@@ -40,14 +40,16 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int = 25) -> DataFrame:
     return _top(scored, k, F.col("score").desc_nulls_last(), F.col("item_id"))
 
 
-def postings(items: DataFrame) -> DataFrame:
-    """``item_id, token, tf, dl``: term frequencies and document lengths."""
+def postings(items: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """``item_id, token, tf, dl``: term frequencies and document lengths, of the
+    tokens in ``only`` (token) where it is given: others are dropped before
+    they are shuffled."""
     words = items.select("item_id", tokens(F.col("text")).alias("words"))
-    return (
-        words.select("item_id", F.size("words").alias("dl"), F.explode("words").alias("token"))
-        .groupBy("item_id", "dl", "token")
-        .agg(F.count("*").alias("tf"))
-    )
+    # An inner explode would have its input's size tested first, tokenising every text again.
+    rows = words.select("item_id", F.size("words").alias("dl"), F.explode_outer("words").alias("token")).where("token is not null")
+    if only is not None:
+        rows = rows.join(_bounded(only.select("token").distinct()), "token", "left_semi")
+    return rows.groupBy("item_id", "dl", "token").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -57,17 +59,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def lexical_topk(queries: DataFrame, items: DataFrame, k: int = 25) -> DataFrame:
     """OR-match of any query token, scored a tenth per matching position."""
-    hits = postings(items).join(_bounded(query_terms(queries)), "token")
+    terms = query_terms(queries)
+    hits = postings(items, terms).join(_bounded(terms), "token")
     scored = hits.groupBy("query_id", "item_id").agg((F.sum("tf") * 0.1).alias("score"))
     return _top(scored, k, F.col("score").desc(), F.col("item_id"))
 
 
 def bm25_topk(queries: DataFrame, items: DataFrame, k: int = 25, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 with the non-negative idf."""
-    post = postings(items)
     stats = items.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
     terms = query_terms(queries)
-    wanted = post.join(_bounded(terms.select("token").distinct()), "token", "left_semi")
+    wanted = postings(items, terms)
     df = wanted.groupBy("token").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1)
     weight = weight / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
