@@ -100,3 +100,15 @@ def records(conditions: DataFrame, cited: DataFrame, terms: DataFrame, cap: int
     edges = graph.edge_counts(pairs.where("_s is not null"))
     nodes = conditions.select("doc_id", "number").distinct().withColumn("node", _node("doc_id", "number"))
     return graph.node_records(nodes, edges, cap).drop("node")
+
+
+def container_titles(segments: DataFrame, conditions: DataFrame) -> DataFrame:
+    """``doc_id, number, titles``: for each condition the distinct titles of the
+    children of the segments that hold it by code or title, in document order."""
+    of = resolve_segments(segments, conditions)
+    holders = segments.join(of, ["doc_id", "id"]).where(F.size("children") > 0)
+    kids = holders.select("doc_id", "number", "seg_ord", F.posexplode("children").alias("_pos", "_child"))
+    titles = segments.select("doc_id", F.col("id").alias("_child"), F.trim("title_text").alias("_title")).where("_title <> ''")
+    first = kids.join(titles, ["doc_id", "_child"]).groupBy("doc_id", "number", "_title").agg(F.min(F.struct("seg_ord", "_pos")).alias("_at"))
+    ordered = F.sort_array(F.collect_list(F.struct("_at", "_title")))
+    return first.groupBy("doc_id", "number").agg(F.transform(ordered, lambda x: x["_title"]).alias("titles"))

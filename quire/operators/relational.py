@@ -71,3 +71,18 @@ def first_per_key(rows: DataFrame, key: Column, *order: str) -> DataFrame:
     """The first row of each key in ``order``; rows with an empty key stay out."""
     ranked = rows.withColumn("_key", key).where("_key <> ''").withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
     return ranked.where("_place = 1").drop("_place").withColumnRenamed("_key", "key")
+
+
+def alias_lookup(wanted: DataFrame, documents: DataFrame, aliases: DataFrame, key: str = "key") -> DataFrame:
+    """Rows of ``documents`` for each wanted key: by the key itself, else by
+    what ``aliases`` (key, target) says it stands for; null if neither is there."""
+    own = documents.select(F.col(key).alias("_own"), F.struct(*documents.columns).alias("_row"))
+    other = own.select(F.col("_own").alias("_target"), F.col("_row").alias("_other"))
+    names = aliases.select(F.col(key).alias("_alias"), F.col("target").alias("_target")).dropDuplicates(["_alias"])
+    found = wanted.join(own, F.col(key) == F.col("_own"), "left").join(names, F.col(key) == F.col("_alias"), "left").join(other, "_target", "left")
+    return found.select(F.col(key).alias("wanted"), F.coalesce("_row", "_other").alias("_hit")).select("wanted", "_hit.*")
+
+
+def collected(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Distinct values of each group as an ordered array."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias(name))

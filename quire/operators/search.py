@@ -139,3 +139,14 @@ def answers(queries: DataFrame, evidence: DataFrame, model, batch: int = 10) ->
         .when(F.coalesce(F.trim("answer"), F.lit("")) == "", "empty_response").otherwise("answered")
     )
     return rows.join(told, "query_id", "left").select("query_id", "route", status.alias("status"), "answer")
+
+
+def response_rows(ranked: DataFrame, items: DataFrame, preview: int = 350) -> DataFrame:
+    """What a caller shows of a ranking (query_id, item_id, final_rank,
+    rerank_score, rrf_score): topic (subtitle, else title), scores to four and
+    six places, the start of the text.  ``items``: item_id, title, subtitle, text."""
+    shown = ranked.join(items, "item_id")
+    return shown.select(
+        "query_id", "item_id", "final_rank", F.coalesce(F.nullif("subtitle", F.lit("")), "title").alias("topic"), F.bround("rerank_score", 4).alias("rerank_score"),
+        F.bround("rrf_score", 6).alias("rrf_score"), F.left("text", F.lit(preview)).alias("preview"),
+    )

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import squeeze
+
 SEPARATOR = " › "
 
 
@@ -124,3 +126,12 @@ def without_parent_kind(nodes: DataFrame, kind: str, excluded: str) -> DataFrame
 def sibling_ordinals(nodes: DataFrame, *order: str) -> DataFrame:
     """Adds ``place``: from 0 among the children of a node, in ``order``."""
     return nodes.withColumn("place", F.row_number().over(Window.partitionBy("parent_id").orderBy(*order)) - 1)
+
+
+def direct_clauses(nodes: DataFrame, parent_kind: str = "condition", child_kind: str = "clause", width: int = 160) -> DataFrame:
+    """``node_id, title, clauses``: titles of the direct children, squeezed and
+    cut to ``width`` characters, in sibling order."""
+    kids = nodes.where(F.col("kind") == child_kind).groupBy(F.col("parent_id").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct("ordinal", F.left(squeeze(F.col("title")), F.lit(width)).alias("t")))).alias("k"))
+    return nodes.where(F.col("kind") == parent_kind).select("node_id", "title").join(kids, "node_id", "left").select(
+        "node_id", "title", F.coalesce(F.transform("k", lambda x: x["t"]), F.array().cast("array<string>")).alias("clauses")
+    )

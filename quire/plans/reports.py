@@ -9,6 +9,7 @@ from quire import models
 from quire.functions import text as X
 from quire.functions import vector as V
 from quire.operators import chunking, evaluate, lines, parsing, references, relational, search, tree, validate
+from quire.plans import hybrid
 from quire.plans import queries as Q
 from quire.plans.queries import query
 from quire.sources import table
@@ -332,3 +333,36 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     q, items = Q._texts(spark, d)
     q = q.withColumn("text", F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("Explain "), "text")).otherwise(F.col("text")))
     return search.answers(q, search.evidence(search.lexical_topk(q, items, 3), items), lambda prompts: [p[:100] for p in prompts])
+
+
+@query(f"""{Q._RERANK} SELECT z.query_id, z.item_id, final_rank, CASE WHEN d.doc_id % 3 = 0 THEN d.lang ELSE d.source END AS topic, left(d.text, 350) AS preview FROM z JOIN documents d ON d.doc_id = z.item_id""")
+def response_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    items = docs.select(F.col("doc_id").alias("item_id"), F.col("source").alias("title"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(F.when(F.col("doc_id") % 3 == 1, "")).alias("subtitle"), "text")
+    return search.response_rows(hybrid.reranked(*Q._hybrid_inputs(spark, d)), items).drop("rerank_score", "rrf_score")
+
+
+@query("""WITH w AS (SELECT DISTINCT o_custkey * 2 AS key FROM orders)
+SELECT w.key AS wanted, coalesce(a.c_name, b.c_name) AS c_name, coalesce(a.c_custkey, b.c_custkey) AS key FROM w LEFT JOIN customer a ON a.c_custkey = w.key LEFT JOIN customer b ON b.c_custkey = w.key - 100 AND w.key % 3 = 0""")
+def alias_lookup(spark: SparkSession, d: str) -> DataFrame:
+    wanted = table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("key")).distinct()
+    documents = table(spark, d, "customer").select("c_name", F.col("c_custkey").alias("key"))
+    aliases = wanted.where("key % 3 = 0").withColumn("target", F.col("key") - 100)
+    return relational.alias_lookup(wanted, documents, aliases)
+
+
+@query(f"""WITH {Q._N}, k AS (SELECT parent_id, string_agg(left(title, 12), '|' ORDER BY ordinal, left(title, 12)) AS c FROM n WHERE kind = 'clause' GROUP BY 1)
+SELECT node_id, title, coalesce(c, '') AS clauses FROM n LEFT JOIN k ON k.parent_id = node_id WHERE kind = 'condition'""")
+def direct_clauses(spark: SparkSession, d: str) -> DataFrame:
+    return tree.direct_clauses(Q._nodes(spark, d), width=12).withColumn("clauses", F.array_join("clauses", "|"))
+
+
+@query("SELECT l_returnflag, l_linestatus, string_agg(DISTINCT CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), ',' ORDER BY CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS pages FROM lineitem GROUP BY ALL")
+def condition_pages(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string").alias("page"))
+    return relational.collected(rows, ["l_returnflag", "l_linestatus"], "page", "pages").withColumn("pages", F.array_join("pages", ","))
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+def indexed_conditions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").distinct()

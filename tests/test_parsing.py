@@ -71,6 +71,8 @@ def test_references(spark):
     conditions = spark.createDataFrame([("d", "1", "Definitions", "1", 0), ("d", "2", "Payment terms", "2", 1), ("d", "3", "Other", "2", 2), ("e", "7", "Seven", None, 0)], "doc_id string, number string, title string, part string, ord int")
     number = {r["id"]: r["number"] for r in references.resolve_segments(segments, conditions).collect()}
     assert number == {"root": "1", "a": "1", "b": "2", "b1": "2", "c": "3", "c1": "3"}
+    titles = {r["number"]: r["titles"] for r in references.container_titles(segments, conditions).collect()}
+    assert titles == {"1": ["Payment Terms"]}
     xref = spark.createDataFrame(
         [("d", 1, 130, 140, "see 3.4", "c1", "c1"), ("d", 2, 130, 140, "this one", "b", "b1"), ("d", 3, 10, 20, "see Part 2", "nowhere", None), ("d", 4, 10, 20, "the Act", None, None), ("d", 5, 500, 510, "see Condition 3", "a", "c"), ("d", 6, 500, 510, "unknown", "a", "a"), ("e", 7, 1, 2, "unknown", "r", "r"), ("e", 8, 1, 2, "under 7.2", "r", "r")],
         "doc_id string, xref_ord long, s long, e long, span_text string, start_seg string, end_seg string",
