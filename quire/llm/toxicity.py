@@ -64,7 +64,7 @@ def fit_ftrl(rows, labels, bits: int = BITS, passes: int = PASSES) -> tuple[np.n
         w = -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
         return np.where(np.abs(zi) <= L1, 0.0, w)
 
-    rows = [np.append(np.asarray(x, np.int64), size) for x in rows]
+    rows = [np.append(np.asarray(x, np.int32), np.int32(size)) for x in rows]
     for _ in range(passes):
         for x, y in zip(rows, labels):
             w = weights(x)
