@@ -40,23 +40,27 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _GENERATOR = 0xC75  # x^11+x^10+x^6+x^5+x^4+x^2+1
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of one text as an unsigned integer."""
-    if not text:
-        return 0
-    data = text.encode("utf-8", "surrogatepass").lower().split()  # both act on ASCII only
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """Hashes of a text's runs of ``shingle`` words, of the whole text if it has fewer."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both act on ASCII only
     n = len(data)
     if not n:
-        return 0
+        return []
     joined = b" ".join(data)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, data), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+        return [digest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, data), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of one text as an unsigned integer."""
+    hashes = shingle_hashes(text, shingle)
     m = len(hashes)
+    if not m:
+        return 0
     raw = np.array(hashes, dtype="<u8")
     counts = np.zeros(64, np.int64)
     for i in range(0, m, 1 << 16):
@@ -71,10 +75,13 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
 
-def _keyed_fingerprints(batches):
-    for b in batches:
-        values = np.fromiter((fingerprint(t) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("_d"), b.column("_t"), pa.array(values.view(np.int64))], names=["_d", "_t", "fp"])
+def _keyed(identify):
+    def rows(batches):
+        for b in batches:
+            values = pa.array([identify(t) for t in b.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("_d"), b.column("_t"), values], names=["_d", "_t", "fp"])
+
+    return rows
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -182,7 +189,12 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def _components(classes: DataFrame, bucket: int) -> DataFrame:
     """``fp, component_id`` of ``classes`` (fp, rep)."""
     labels = connected_components(links(classes.select("fp"), bucket))
-    labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
+    return _least(classes, labels.withColumnRenamed("node", "fp"))
+
+
+def _least(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``fp, component_id`` of ``classes`` (fp, rep) by ``labels`` (fp, label)."""
+    labelled = classes.join(labels, "fp", "left").select(
         "fp", "rep", F.coalesce("label", "fp").alias("label")
     )
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -198,17 +210,25 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
 
 
-def keep_representatives(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def keep_representatives(docs: DataFrame, bucket: int = BUCKET, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates, columns unchanged:
-    the row of least (doc_id, text hash), a null doc_id last."""
-    rows = cut(
-        docs.select(*document_key(), F.col("text")).mapInArrow(_keyed_fingerprints, "_d long, _t long, fp long")
-    )
+    the row of least (doc_id, text hash), a null doc_id last.  Documents link
+    at ``DISTANCE`` bits of their fingerprints or, with ``similarity``, exactly
+    where their sets of shingles have that Jaccard similarity or more."""
+    from . import jaccard
+
+    def identify(text):
+        if similarity is None:
+            return int(np.uint64(fingerprint(text, shingle)).view(np.int64))
+        return jaccard.set_id(jaccard.shingle_set(text, shingle))
+
+    rows = cut(docs.select(*document_key(), F.col("text")).mapInArrow(_keyed(identify), "_d long, _t long, fp long"))
     # The least row of each fingerprint, and whether it is there more than once.
     classes = cut(
         rows.groupBy("fp", "_d", "_t").agg(F.count("*").alias("n")).groupBy("fp").agg(F.min(F.struct("_d", "_t", "n")).alias("least"))
     )
-    of = _components(classes.select("fp", F.col("least._d").alias("rep")), bucket)
+    named = classes.select("fp", F.col("least._d").alias("rep"))
+    of = _components(named, bucket) if similarity is None else _least(named, jaccard.components(docs, shingle, similarity))
     kept = (
         classes.join(of, "fp")
         .groupBy("component_id")
