@@ -10,8 +10,10 @@ space and trimming; units without a word are passed over.
 128-bit digests of units are grouped over the whole corpus; occurrences rank
 by (doc_id, hash of the text, unit number), and all but the first are repeats.
 Repeats that follow one another in a document form a run, across lines too; a
-run of ``min_words`` words or more is removed, shorter ones (common phrases)
-stay.  A unit goes with the white space after it, and a line all of whose
+run of ``MIN_WORDS`` words or more is removed, shorter ones (common phrases)
+stay.  A whole line that has been a whole line before goes whatever its length.
+With ``min_words`` that number holds for all runs, also those of whole lines,
+as in the SQL of op3_line_dedup.  A unit goes with the white space after it, and a line all of whose
 words went goes as a whole.  Offsets in the original text are retained.
 
 Null text has no unit and stays null.  A text whose units all go becomes the
@@ -37,6 +39,7 @@ from .common import cut as materialise
 from .common import document_key, packed
 
 MIN_WORDS = 10
+LINE_SEED = 1
 _UNIT = re.compile(rb"[^\n]*?[.!?]+[\"')\]]*(?:[ \t\r\x0b\x0c]+|(?=\n)|\Z)|[^\n]+")
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -45,34 +48,54 @@ def _text_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def _unit_rows(batches):
+def _unit_rows(lines: bool):
+    """Rows of all worded units; with ``lines``, those that are a whole line are
+    marked, and lines of several units have a row of their own (another seed)."""
     digest = xxhash.xxh3_128_digest
-    for b in batches:
-        ids, hashes, counts, numbers, digests = b.column("_d").to_numpy(), b.column("_t").to_numpy(), [], [], []
-        for text in b.column("text").to_pylist():
-            before = len(numbers)
-            for i, unit in enumerate(_UNIT.findall(_text_bytes(text).lower())):  # acts on ASCII only
-                if words := unit.split():
-                    numbers.append(i)
-                    digests.append(digest(b" ".join(words)))
-            counts.append(len(numbers) - before)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, counts)), pa.array(np.repeat(hashes, counts)), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())],
-            names=["_d", "_t", "_unit", "digest"],
-        )
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """``_d, _t, units``: numbers of each document's units that have come before."""
-    found = docs.select(*document_key(), "text").mapInArrow(_unit_rows, "_d long, _t long, _unit int, digest binary")
+
+    def rows(batches):
+        for b in batches:
+            ids, hashes, counts, numbers, whole, digests = b.column("_d").to_numpy(), b.column("_t").to_numpy(), [], [], [], []
+            for text in b.column("text").to_pylist():
+                before, i = len(numbers), 0
+                for line in _text_bytes(text).lower().split(b"\n"):  # acts on ASCII only
+                    start, at = len(numbers), i
+                    for unit in _UNIT.findall(line):
+                        if words := unit.split():
+                            numbers.append(i)
+                            whole.append(False)
+                            digests.append(digest(b" ".join(words)))
+                        i += 1
+                    if lines and len(numbers) == start + 1:
+                        whole[-1] = True
+                    elif lines and len(numbers) > start:
+                        numbers.append(at)
+                        whole.append(True)
+                        digests.append(digest(b" ".join(line.split()), LINE_SEED))
+                counts.append(len(numbers) - before)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, counts)), pa.array(np.repeat(hashes, counts)), pa.array(numbers, pa.int32()), pa.array(whole, pa.bool_()), pa.array(digests, pa.binary())],
+                names=["_d", "_t", "_unit", "_whole", "digest"],
+            )
+
+    return rows
+
+
+def repeats(docs: DataFrame, lines: bool = False) -> DataFrame:
+    """``_d, _t, units, lines``: numbers of each document's units that have come
+    before and, with ``lines``, of a unit of each line that has been a line before."""
+    found = docs.select(*document_key(), "text").mapInArrow(_unit_rows(lines), "_d long, _t long, _unit int, _whole boolean, digest binary")
     place = F.struct("_d", "_t", "_unit")
     # Written out, so that both sides of the join are plain exchanges, which adaptive execution can split.
-    first = materialise(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
-    again = found.join(first, "digest").where(place != F.col("first"))
-    return again.groupBy("_d", "_t").agg(F.collect_set("_unit").alias("units"))
+    firsts = F.min(place).alias("first"), F.min(F.when(F.col("_whole"), place)).alias("first_line"), F.count("*").alias("n")
+    first = materialise(found.groupBy("digest").agg(*firsts).where("n > 1").select("digest", "first", "first_line"))
+    line = F.col("_whole") & (place != F.col("first_line"))
+    again = found.join(first, "digest").where((place != F.col("first")) | line)
+    # A line's own row marks its first unit, which has come before like all of the line.
+    return again.groupBy("_d", "_t").agg(F.collect_set("_unit").alias("units"), F.collect_set(F.when(line, F.col("_unit"))).alias("lines"))
 
 
-def cut(text: str, repeated: set[int], min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]]]:
+def cut(text: str, repeated: set[int], min_words: int = MIN_WORDS, whole: set[int] = frozenset()) -> tuple[str, list[tuple[int, int]]]:
     """(what stays of a text, code point spans of the units removed)."""
     data = _text_bytes(text)
     units = [(m.start(), m.end(), len(m[0].split())) for m in _UNIT.finditer(data)]
@@ -87,6 +110,10 @@ def cut(text: str, repeated: set[int], min_words: int = MIN_WORDS) -> tuple[str,
             run, size = [], 0
     if size >= min_words:
         gone.update(run)
+    if whole:
+        line = np.cumsum([0] + [data.count(b"\n", a, b) for (a, _, _), (b, _, _) in zip(units, units[1:])]).tolist()
+        lines_gone = {line[i] for i in whole}
+        gone.update(i for i in range(len(units)) if line[i] in lines_gone)
     if not gone:
         return text, []
     lines, spans, held, words_left, cut_here = [], [], [], 0, False
@@ -115,8 +142,8 @@ def _cut_rows(min_words: int):
     def rows(batches):
         for b in batches:
             texts, spans = [], []
-            for text, units in zip(b.column("_row").field("text").to_pylist(), b.column("units").to_pylist()):
-                kept, gone = cut(text, set(units), min_words) if units else (text, [])
+            for text, units, lines in zip(b.column("_row").field("text").to_pylist(), b.column("units").to_pylist(), b.column("lines").to_pylist()):
+                kept, gone = cut(text, set(units), min_words, set(lines)) if units else (text, [])
                 texts.append(kept)
                 spans.append([{"start": x, "end": y} for x, y in gone] or None)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -125,11 +152,11 @@ def _cut_rows(min_words: int):
     return rows
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int | None = None) -> DataFrame:
     """All columns of ``docs`` with ``text`` cut, plus ``removed_spans`` (null
     where nothing went): array of (start, end) in code points of the original."""
-    rows = packed(docs, *document_key()).join(repeats(docs), ["_d", "_t"], "left").select("_row", "units")
+    rows = packed(docs, *document_key()).join(repeats(docs, min_words is None), ["_d", "_t"], "left").select("_row", "units", "lines")
     kind = T.StructType([T.StructField("_row", docs.schema), T.StructField("_text", T.StringType()), T.StructField("_spans", _SPANS)])
-    done = rows.mapInArrow(_cut_rows(min_words), kind)
+    done = rows.mapInArrow(_cut_rows(MIN_WORDS if min_words is None else min_words), kind)
     columns = [c for c in docs.columns if c != "removed_spans"]
     return done.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns], F.col("_spans").alias("removed_spans"))

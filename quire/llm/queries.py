@@ -22,7 +22,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text`` (what stays), ``n_removed`` units and their offsets as ``spans``."""
-    done = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), linededup.MIN_WORDS)
     span = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return done.select(
         "doc_id",

@@ -63,6 +63,22 @@ def test_passage_inside_a_line(spark):
     assert all(got[i] == f"{i} own start of line {i} and then First of the shared sentences. Own end {i}.\nOther line {i}" for i in range(1, 5))
 
 
+def test_short_whole_lines(spark):
+    """Repeated lines go whatever their length; short pieces inside a line stay."""
+    docs = [
+        (1, "All rights reserved.\nShe left. He stayed.\nYes. And some own words one"),
+        (2, "all  rights RESERVED.\nOwn line two\nShe left. He stayed."),
+        (3, "Own start three. All rights reserved.\nYes.\nOwn line two\n\nYes."),
+        (4, "She left.\nHe stayed. Own end four"),
+    ]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got[1]["text"] == docs[0][1] and got[1]["removed_spans"] is None
+    assert got[2]["text"] == "Own line two"
+    assert got[3]["text"] == "Own start three. All rights reserved.\nYes.\n"
+    assert got[4]["text"] == docs[3][1]
+    assert [docs[1][1][a:b] for a, b in got[2]["removed_spans"]] == ["all  rights RESERVED.", "She left. ", "He stayed."]
+
+
 def test_odd_rows(spark):
     docs = odd.frame(spark)
     got = linededup.dedup_lines(docs)
