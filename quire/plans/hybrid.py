@@ -10,9 +10,10 @@ from quire.operators import search
 def hybrid(queries: DataFrame, items: DataFrame, pool: int = 25, fused: int = 20) -> DataFrame:
     """Dense and lexical top-k fused by reciprocal rank.
 
-    ``queries``: query_id, text, qvec.  ``items``: item_id, text, vec.
+    ``queries``: query_id, text, qvec.  ``items``: item_id, text, vec, of which
+    those without a vector (null) take part in the lexical side alone.
     """
-    dense = search.dense_topk(queries.select("query_id", "qvec"), items.select("item_id", "vec"), pool)
+    dense = search.dense_topk(queries.select("query_id", "qvec"), items.select("item_id", "vec").where("vec is not null"), pool)
     lexical = search.lexical_topk(queries.select("query_id", "text"), items.select("item_id", "text"), pool)
     return search.rrf(dense, lexical, limit=fused)
 

@@ -155,3 +155,14 @@ def test_streaming(spark, sf_dir, tmp_path):
         streaming.process_absent(stream, target, ["event_id"], lambda df: df.withColumn("double", F.col("value") * 2), check).awaitTermination()
     assert spark.read.parquet(target).count() == events.count()
     assert streaming.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_hybrid_items_without_vector(spark):
+    """They are found by their words and have no dense rank."""
+    from quire.plans import hybrid
+
+    queries = spark.createDataFrame([(1, "red fox", [1.0, 0.0])], "query_id long, text string, qvec array<double>")
+    items = spark.createDataFrame([(10, "blue whale", [1.0, 0.1]), (11, "red fox red fox", None), (12, "grey owl", None)], "item_id long, text string, vec array<double>")
+    fused = {r["item_id"]: (r["dense_rank"], r["lexical_rank"]) for r in hybrid.hybrid(queries, items).collect()}
+    assert fused == {10: (1, None), 11: (None, 1)}
+    assert {r["item_id"] for r in hybrid.reranked(queries, items).collect()} == {10, 11}
