@@ -14,7 +14,9 @@ weights.
 
 Null, empty and tagless html: a page without a main block has the empty text.
 Unclosed, misnested and unknown tags are read as browsers do in the main;
-scripts, styles, comments, titles and the like never count.  Repeated rows are
+scripts, styles, comments, titles and the like never count.  A frame, drawing or
+template that is never closed hides nothing; one in its own right is skipped
+whole.  Names count in full: ``<svg-icon>`` is an unknown element like others.  Repeated rows are
 extracted alike; an empty table gives an empty result.
 """
 
@@ -30,11 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RAW = "script|style|template|title|noscript|svg|iframe|object|canvas|textarea"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*>", re.S)
+#: Elements whose inside is no text; the first four have no elements inside either, and run to the page's end if left open.
+RAW = ("script", "style", "title", "textarea")
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in (*RAW, "template", "noscript", "svg", "iframe", "object", "canvas")}
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,6 +71,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
     if not page:
         return []
     out, stack, buffer, links, at, depth_a = [], [], [], 0, 0, 0
+    open_ended = set()  # elements that are not closed any more from here on
 
     def flush():
         nonlocal links
@@ -82,20 +84,30 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
                 out.append((text, tuple(stack), links))
         links = 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             buffer.append(piece)
             if depth_a:
                 links += len(piece)
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _CLOSE and not m[1] and not (tag == "svg" and m[3].endswith("/")):
+            end = None if tag in open_ended else _CLOSE[tag].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            open_ended.add(tag)
+            if tag in RAW:
+                at = len(page)
+                break
+            continue
         if tag in INLINE:
             if tag == "a":
-                depth_a = 0 if m[2] else 1
+                depth_a = 0 if m[1] else 1
             continue
         if tag == "br":
             buffer.append(" ")
@@ -104,7 +116,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
         if tag in VOID:
             continue
         depth_a = 0
-        if m[2]:
+        if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -117,7 +129,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
                     break
                 if stack[i][0] in _SCOPE and not (tag == "tr" and stack[i][0] in shut):
                     break
-        attributes = m[4]
+        attributes = m[3]
         words = ()
         if attributes and "=" in attributes:
             words = tuple(sorted({w.lower() for a in _ATTRIBUTE.findall(attributes) for w in _PART.findall(a)}))
@@ -303,6 +315,32 @@ def labelled_pages(n: int = 300, seed: int = 7):
             yield page, labels
 
 
+def likelihood(theta: np.ndarray, flat: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[float, np.ndarray]:
+    """(log likelihood, its gradient) of labels ``y`` of pages by forward-backward.
+
+    ``theta``: feature weights, bias and the four transitions.  ``on`` marks the
+    blocks that a page has, ``flat`` holds their features in that order."""
+    w, bias, moves = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
+    n, longest = on.shape
+    e = np.zeros((n, longest, 2))
+    e[..., 1][on] = flat @ w + bias
+    a, b = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    a[:, 0] = e[:, 0]
+    for t in range(1, longest):
+        a[:, t] = np.where(on[:, t, None], np.logaddexp(a[:, t - 1, :1] + moves[0], a[:, t - 1, 1:] + moves[1]) + e[:, t], a[:, t - 1])
+    z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
+    for t in range(longest - 2, -1, -1):
+        nxt = e[:, t + 1] + b[:, t + 1]
+        b[:, t] = np.where(on[:, t + 1, None], np.logaddexp(moves[:, 0] + nxt[:, :1], moves[:, 1] + nxt[:, 1:]), b[:, t + 1])
+    pairs = on[:, 1:]
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
+    miss = (y - np.exp(a[..., 1] + b[..., 1] - z[:, None]))[on]
+    joint = np.exp(a[:, :-1, :, None] + moves + (e + b)[:, 1:, None, :] - z[:, None, None, None])[pairs].sum(axis=0)
+    value = (e[..., 1] * y)[on].sum() + (seen * moves).sum() - z.sum()
+    return float(value), np.concatenate((flat.T @ miss, [miss.sum()], (seen - joint).ravel()))
+
+
 class Chain:
     """Two-label linear-chain CRF: feature weights for label 1 and transitions."""
 
@@ -319,28 +357,11 @@ class Chain:
             for t, (features, label) in enumerate(zip(s, l)):
                 x[i, t, features] = 1
                 y[i, t], on[i, t] = label, True
-        flat, total = x[on], int(on.sum())
+        flat = x[on]
         theta = np.zeros(N_FEATURES + 1 + 4)
         first, second = np.zeros_like(theta), np.zeros_like(theta)
-        pairs = on[:, 1:]
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
         for step in range(1, rounds + 1):
-            w, bias, moves = theta[:N_FEATURES], theta[N_FEATURES], theta[N_FEATURES + 1 :].reshape(2, 2)
-            e = np.zeros((n, longest, 2))
-            e[..., 1][on] = flat @ w + bias
-            a, b = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-            a[:, 0] = e[:, 0]
-            for t in range(1, longest):
-                a[:, t] = np.where(on[:, t, None], np.logaddexp(a[:, t - 1, :1] + moves[0], a[:, t - 1, 1:] + moves[1]) + e[:, t], a[:, t - 1])
-            z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
-            for t in range(longest - 2, -1, -1):
-                nxt = e[:, t + 1] + b[:, t + 1]
-                b[:, t] = np.where(on[:, t + 1, None], np.logaddexp(moves[:, 0] + nxt[:, :1], moves[:, 1] + nxt[:, 1:]), b[:, t + 1])
-            p = np.exp(a[..., 1] + b[..., 1] - z[:, None])
-            miss = (y - p)[on]
-            joint = np.exp(a[:, :-1, :, None] + moves + (e + b)[:, 1:, None, :] - z[:, None, None, None])[pairs].sum(axis=0)
-            g = np.concatenate((flat.T @ miss, [miss.sum()], (seen - joint).ravel())) / total - l2 * theta
+            g = likelihood(theta, flat, y, on)[1] / len(flat) - l2 * theta
             first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
             theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
         return Chain(theta[:N_FEATURES], float(theta[N_FEATURES]), theta[N_FEATURES + 1 :].reshape(2, 2))

@@ -70,3 +70,64 @@ def test_tables(spark, sf_dir):
     odd = spark.createDataFrame([(1, None, None, 0), (1, None, None, 0), (None, "u", "", 0), (2, "u", PAGE, 0), (3, "u", "<nav><a>x</a></nav>", 0)], "page_id long, url string, html string, text int")
     rows = htmltext.main_text(odd).collect()
     assert sorted(len(r["text"]) for r in rows) == [0, 0, 0, 0, len(TEXT)] and htmltext.main_text(odd.where("false")).count() == 0
+
+
+def test_names_count_in_full_and_open_elements_hide_nothing():
+    def texts(page):
+        return [b[0] for b in htmltext.blocks(page)]
+
+    assert texts("<p>a</p><svg-icon name=x></svg-icon><article><p>main</p></article>") == ["a", "main"]
+    assert texts("<p>a</p><title-bar>t</title-bar><template-x><p>main</p></template-x>") == ["a", "t", "main"]
+    assert texts("<p>a</p><svg viewBox='0 0'/><article><p>main</p></article><svg><text>no</text></svg>b") == ["a", "main", "b"]
+    assert texts("<p>a</p><svg><p>b</p><iframe src=x><p>c</p><noscript>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a</p><script>if (a</b>c) '</scripty>'</script ><p>b</p><SCRIPT>c</script\n><p>d") == ["a", "b", "d"]
+    assert texts("<p>a</p><script>x<p>b</p>") == ["a"]
+    extract = htmltext.Extractor(htmltext.model())
+    body = "<p>The main text of this page is a sentence of good length, and it stays.</p>"
+    for inside in ("<svg-icon name=x></svg-icon>", "<svg class=i />", "<canvas-chart></canvas-chart>", "<object data=x>"):
+        assert extract(f"<body><nav><a href=x>Home</a></nav>{inside}<article>{body}</article></body>") == body[3:-4]
+
+
+def test_long_pages(spark):
+    import time
+
+    para = "<p>A paragraph of the article, as long as such paragraphs are.</p>"
+    n = 5_000_000 // len(para)
+    began = time.perf_counter()
+    text = htmltext.Extractor(htmltext.model())("<article>" + para * n + "</article>")
+    assert text.count("\n") == n - 1
+    # Adversarial stretches are read once, not once for every element.
+    for piece in ("<canvas>", "<!", "<svg>", "<a <", "&", "<"):
+        htmltext.blocks(piece * 300_000)
+    assert time.perf_counter() - began < 60
+    rows = spark.createDataFrame([(1, "u", para * 100_000, "x", 1)], "page_id long, url string, html string, text string, n_chars int")
+    assert htmltext.main_text(rows).first()["n_chars"] == 100_000 * (len(para) - 7) + 99_999
+
+
+def test_gradient():
+    """Forward-backward against all labellings, and the gradient against differences."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    on = np.array([[1, 1, 1, 1], [1, 1, 0, 0], [1, 0, 0, 0]], bool)
+    flat, y = rng.integers(0, 2, (7, 5)).astype(float), rng.integers(0, 2, (3, 4)) * on
+    theta = rng.normal(size=10)
+
+    def slow(theta):
+        moves, scores, at, total = theta[-4:].reshape(2, 2), flat @ theta[:5] + theta[5], 0, 0.0
+        for row, n in zip(y, on.sum(axis=1)):
+            s = scores[at : at + n]
+            at += n
+
+            def value(labels):
+                return sum(x for x, l in zip(s, labels) if l) + sum(moves[a, b] for a, b in zip(labels, labels[1:]))
+
+            total += value(row[:n]) - np.log(sum(np.exp(value(l)) for l in itertools.product((0, 1), repeat=int(n))))
+        return total
+
+    value, gradient = htmltext.likelihood(theta, flat, y, on)
+    assert abs(value - slow(theta)) < 1e-9
+    steps = np.eye(10) * 1e-5
+    assert np.allclose(gradient, [(slow(theta + h) - slow(theta - h)) / 2e-5 for h in steps], atol=1e-6)
