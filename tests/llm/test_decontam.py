@@ -84,15 +84,56 @@ def test_alignment():
 
 def test_embedding_keeps_near_windows_near():
     rng = np.random.default_rng(6)
-    symbols = rng.integers(1, 1 << 40, 500).astype(np.uint64)
-    a = rng.integers(0, 490, (60, 40)).astype(np.int32)
+    a = rng.integers(1, 490, (60, 40)).astype(np.uint64)
     b = a.copy()
     b[:, 20] = 495  # one edit
-    far = rng.integers(0, 490, (60, 40)).astype(np.int32)
-    x, y, z = (decontam.cgk(w, 8, symbols) for w in (a, b, far))
+    far = rng.integers(1, 490, (60, 40)).astype(np.uint64)
+    x, y, z = map(decontam.cgk, (a, b, far))
     assert (x != y).mean() < 0.3 < 0.8 < (x != z).mean()
 
 
+def test_recall_of_the_hashing_alone():
+    """Windows at the full distance, edits of any kind: some key meets the item's."""
+    rng, met, total = random.Random(9), 0, 0
+    for n in (10, 15, 25, 40, 60):
+        for _ in range(60):
+            item = [f"w{rng.randint(0, 3000)}" for _ in range(n)]
+            near = (edited(rng, item, decontam.edits(n)) + [f"z{rng.randint(0, 3000)}" for _ in range(n)])[:n]
+            k = decontam.keys(np.stack([decontam.symbols([w.encode() for w in x]) for x in (item, near)]))
+            met += bool((k[0] == k[1]).any())
+            total += 1
+    assert met >= 0.97 * total
+
+
+def test_window_test_loses_nothing(monkeypatch):
+    """The count of known words against a scan of all windows."""
+    rng = random.Random(10)
+    items = [[f"w{rng.randint(0, 40)}" for _ in range(n)] for n in (1, 2, 5, 9, 9, 30)]
+    lengths = sorted({len(x) for x in items})
+    table = np.zeros(decontam.SLOTS, np.uint64)
+    for x in items:
+        table[(decontam.symbols([w.encode() for w in x]) % np.uint64(decontam.SLOTS)).astype(int)] |= np.uint64(1 << lengths.index(len(x)))
+    texts = [[f"w{rng.randint(0, 80)}".encode() for _ in range(n)] for n in (0, 1, 4, 7, 60, 200)]
+    seen = set()
+    monkeypatch.setattr(decontam, "keys", lambda windows: np.zeros((len(windows), 1), np.int64))
+    for k, n, first, stretch, _ in decontam.Windows(lengths, table, 0.8).regions(texts):
+        assert texts[k][first : first + len(stretch.split())] == stretch.split()
+        seen |= {(k, n, *texts[k][at : at + n]) for at in range(first, first + len(stretch.split()))}
+    for k, t in enumerate(texts):
+        for n in lengths:
+            known = {w.encode() for x in items if len(x) == n for w in x}
+            for at in range(len(t)):
+                if sum(w in known for w in t[at : at + n]) >= n - decontam.edits(n):
+                    assert (k, n, *t[at : at + n]) in seen  # equal windows of a text stand for each other
+
+
+def test_beyond_the_broadcast_bounds(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, queries.op4_decontamination(spark, sf_dir).collect()))
+    for name in ("KEY_ROWS", "WORD_BYTES", "DOCUMENT_ROWS"):
+        monkeypatch.setattr(decontam, name, -1)
+    assert sorted(map(tuple, queries.op4_decontamination(spark, sf_dir).collect())) == want and want
+
+
 def test_query(spark, sf_dir):
     docs, items = ([(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(i, "text").collect()] for t, i in (("documents", "doc_id"), ("benchmark", "item_id")))
     # Exact alignment only where four words in a row agree: fewer leave no room for a leak of these items.
