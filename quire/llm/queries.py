@@ -21,15 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text`` (what stays), ``n_removed`` units and their offsets as ``spans``."""
-    done = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), linededup.MIN_WORDS)
+    """``doc_id, text`` (what stays) and the offsets of the units removed as ``spans``."""
+    done = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     span = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
-    return done.select(
-        "doc_id",
-        "text",
-        F.coalesce(F.size("removed_spans"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join(span, ","), F.lit("")).alias("spans"),
-    )
+    return done.select("doc_id", "text", F.coalesce(F.array_join(span, ","), F.lit("")).alias("spans"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +63,10 @@ _LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS body
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+), plain AS (
+  SELECT doc_id, line, trim(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\x0b\x0c]+', ' ', 'g')) AS norm FROM lines
+), old_lines AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line) > 1 AS old FROM plain WHERE norm <> ''
 ), pieces AS (
   SELECT doc_id, line, generate_subscripts(ps, 1) AS piece, unnest(ps) AS unit
   FROM (SELECT doc_id, line, regexp_extract_all(body, '.*?[.!?]+["'')\]]*(?:[ \t\r\x0b\x0c]+|$)|.+') AS ps FROM lines WHERE body <> '')
@@ -83,17 +82,18 @@ WITH lines AS (
 ), judged AS (
   SELECT doc_id, line, piece, again AND sum(CASE WHEN again THEN words ELSE 0 END) OVER (PARTITION BY doc_id, run) >= 10 AS gone FROM runs
 ), marked AS (
-  SELECT p.*, coalesce(j.gone, FALSE) AS gone, j.gone IS NOT NULL AND NOT j.gone AS holds FROM placed p LEFT JOIN judged j USING (doc_id, line, piece)
+  SELECT p.*, coalesce(j.gone, FALSE) OR coalesce(o.old, FALSE) AS gone, j.gone IS NOT NULL AND NOT j.gone AND NOT coalesce(o.old, FALSE) AS holds
+  FROM placed p LEFT JOIN judged j USING (doc_id, line, piece) LEFT JOIN old_lines o USING (doc_id, line)
 ), by_line AS (
   SELECT doc_id, line, coalesce(string_agg(unit, '' ORDER BY piece) FILTER (WHERE NOT gone), '') AS body, bool_or(gone) AND NOT bool_or(holds) AS emptied,
-         count(*) FILTER (WHERE gone) AS n_removed, string_agg(first_char || '-' || (first_char + length(unit)), ',' ORDER BY piece) FILTER (WHERE gone) AS spans
+         string_agg(first_char || '-' || (first_char + length(unit)), ',' ORDER BY piece) FILTER (WHERE gone) AS spans
   FROM marked GROUP BY doc_id, line
 ), kept AS (
   SELECT l.doc_id, coalesce(string_agg(coalesce(b.body, ''), chr(10) ORDER BY line) FILTER (WHERE NOT coalesce(emptied, FALSE)), '') AS text,
-         CAST(coalesce(sum(n_removed), 0) AS BIGINT) AS n_removed, coalesce(string_agg(spans, ',' ORDER BY line) FILTER (WHERE spans IS NOT NULL), '') AS spans
+         coalesce(string_agg(spans, ',' ORDER BY line) FILTER (WHERE spans IS NOT NULL), '') AS spans
   FROM lines l LEFT JOIN by_line b USING (doc_id, line) GROUP BY l.doc_id
 )
-SELECT d.doc_id, k.text, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.spans, '') AS spans
+SELECT d.doc_id, k.text, coalesce(k.spans, '') AS spans
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 

@@ -8,12 +8,16 @@ from compare import connect, same
 from quire.llm import linededup, queries
 
 
-def plain(docs, min_words):
+def plain(docs, sentence_words):
     """{(doc_id, text): (what stays, spans)} by the definition, unit by unit."""
-    seen, out = set(), {}
+    seen, lines_seen, out = set(), set(), {}
     for doc_id, text in sorted(set(docs), key=lambda d: (d[0], d[1])):
         units, at = [], 0
+        old = set()
         for k, line in enumerate(text.split("\n")):
+            if norm := " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), line).split()):
+                old |= {k} if norm in lines_seen else set()
+                lines_seen.add(norm)
             for piece in re.findall(r".*?[.!?]+[\"')\]]*(?:[ \t\r\v\f]+|$)|.+", line):
                 norm = " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), piece).split())
                 again = bool(norm) and norm in seen
@@ -28,10 +32,12 @@ def plain(docs, min_words):
             j = i
             while j < len(worded) and worded[j][5]:
                 j += 1
-            if sum(u[4] for u in worded[i:j]) >= min_words:
+            if sentence_words is not None and sum(u[4] for u in worded[i:j]) >= sentence_words:
                 for u in worded[i:j]:
                     u[6] = True
             i = max(j, i + 1)
+        for u in units:
+            u[6] |= u[0] in old
         lines = []
         for k, _ in enumerate(text.split("\n")):
             own = [u for u in units if u[0] == k]
@@ -45,7 +51,7 @@ def test_against_plain_version(spark):
     rng = random.Random(3)
     phrases = ["One two three.", "Four five six seven eight!", "nine ten", "Éleven twelve? ", "A b c d e f g h i j k l.", "", "  ", "x.y z. ", "(Said he.) ", "No end here"]
     docs = [(i, "\n".join(" ".join(rng.choice(phrases) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 5)))) for i in range(60)]
-    for least in (1, 5, 10):
+    for least in (None, 1, 5, 10):
         got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), least).collect()
         want = plain(docs, least)
         original = dict(docs)
@@ -79,6 +85,21 @@ def test_short_whole_lines(spark):
     assert [docs[1][1][a:b] for a, b in got[2]["removed_spans"]] == ["all  rights RESERVED.", "She left. ", "He stayed."]
 
 
+def test_units_in_one_pass():
+    import time
+
+    slow = re.compile(rb"[^\n]*?[.!?]+[\"')\]]*(?:[ \t\r\x0b\x0c]+|(?=\n)|\Z)|[^\n]+")
+    rng = random.Random(11)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab.!?\"') \n\t") for _ in range(rng.randint(0, 14))).encode()
+        assert linededup._UNIT.findall(text) == slow.findall(text)
+    began = time.perf_counter()
+    for piece in (b".", b".x", b"..x ", b'.")x', b". ", b"x"):
+        linededup._UNIT.findall(piece * 1_000_000)
+    assert time.perf_counter() - began < 30
+    assert linededup.cut("." * 1_000_000 + "\nEnd.", {0}, 1)[0] == "End."
+
+
 def test_odd_rows(spark):
     docs = odd.frame(spark)
     got = linededup.dedup_lines(docs)
