@@ -1,10 +1,17 @@
 """SentencePiece encoding and decoding: Unigram Viterbi over a double-array trie.
 
-The pieces and scores come from a model file; its pieces are taken as a
-Unigram vocabulary whatever the model was trained as.  Normal pieces sit in a
-double-array trie over UTF-8 bytes.  White space is escaped to U+2581 and a
-leading marker added (where the model asks for it); a character that no piece
-covers costs ten less than the least score and is written as byte pieces.
+The pieces come from a model file.  A Unigram model brings its own log
+probabilities.  The file of a merge model (BPE) holds ranks instead, minus the
+number of the merge, whose sums mean nothing; its pieces get the log
+probabilities of the Zipf-Mandelbrot law over those ranks,
+``p(r) = c / (r + ZIPF_SHIFT)`` with ``c`` such that they sum to one.  Nothing
+is trained.
+
+Texts are normalised as the file says: by its character map (longest match in
+its trie), and by dropping extra spaces.  Normal pieces sit in a double-array
+trie over UTF-8 bytes.  White space is escaped to U+2581 and a leading marker
+added (where the model asks for it); a character that no piece covers costs ten
+less than the least score and is written as byte pieces.
 
 No piece of the vocabularies handled here has the marker after another
 character, so the best path of a text is the best paths of its words (a run of
@@ -13,9 +20,10 @@ Arrow batch are collected once, and the Viterbi recursion runs over all of
 them together, one byte position at a time.
 
 Null and empty texts encode to no token (and decode to the empty string).
-Decoding turns markers to spaces (also those that were in the text itself), byte pieces to bytes (bytes that are not
-UTF-8 become U+FFFD) and drops the leading space that encoding added; it
-restores every other text exactly.  Repeated rows are
+Decoding turns markers to spaces, byte pieces to bytes (bytes that are not
+UTF-8 become U+FFFD) and drops the leading space that encoding added.  Under a
+model without a character map it restores every text exactly, but for markers
+in the text itself, which come back as spaces; with one, the normalised text.  Repeated rows are
 encoded alike; an empty table gives an empty result.
 """
 
@@ -35,8 +43,10 @@ from .common import packed
 
 MODEL = os.environ.get("QUIRE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
+_MARK = MARK.encode()
 CACHED_WORDS = 400_000  # encodings kept by a task; beyond it starts afresh
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNIGRAM, ZIPF_SHIFT = 1, 2.7
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -68,8 +78,9 @@ def _fields(data: bytes):
 
 
 def read_model(data: bytes) -> dict:
-    """Pieces, scores, kinds and the flags that matter, from a model file's bytes."""
-    pieces, scores, kinds, flags = [], [], [], {"byte_fallback": False, "add_dummy_prefix": True, "plain": True}
+    """Pieces, log scores, kinds, normaliser and flags from a model file's bytes."""
+    pieces, scores, kinds, trained = [], [], [], UNIGRAM
+    flags = {"byte_fallback": False, "add_dummy_prefix": True, "remove_extra_whitespaces": True, "charsmap": b""}
     for number, value in _fields(data):
         if number == 1:
             piece, score, kind = "", 0.0, NORMAL
@@ -84,16 +95,81 @@ def read_model(data: bytes) -> dict:
             scores.append(score)
             kinds.append(kind)
         elif number == 2:
-            flags["byte_fallback"] = any(n == 35 and v for n, v in _fields(value))
+            for n, v in _fields(value):
+                if n == 3:
+                    trained = v
+                elif n == 35:
+                    flags["byte_fallback"] = bool(v)
         elif number == 3:
             for n, v in _fields(value):
-                if n == 2 and v:
-                    flags["plain"] = False
+                if n == 2:
+                    flags["charsmap"] = bytes(v)
                 elif n == 3:
                     flags["add_dummy_prefix"] = bool(v)
-                elif n == 4 and v:
-                    flags["plain"] = False
-    return {"pieces": pieces, "scores": np.array(scores, np.float32), "kinds": kinds, **flags}
+                elif n == 4:
+                    flags["remove_extra_whitespaces"] = bool(v)
+    scores = np.array(scores, np.float32)
+    return {"pieces": pieces, "scores": scores if trained == UNIGRAM else zipf_scores(scores, kinds), "kinds": kinds, **flags}
+
+
+def zipf_scores(ranks: np.ndarray, kinds: list[int]) -> np.ndarray:
+    """Log probabilities of the normal pieces by their place in descending order of ``ranks``."""
+    normal = np.nonzero(np.array(kinds) == NORMAL)[0]
+    place = np.empty(len(normal))
+    place[np.argsort(-ranks[normal], kind="stable")] = np.arange(len(normal))
+    p = 1 / (place + ZIPF_SHIFT)
+    out = np.zeros(len(ranks), np.float32)
+    out[normal] = np.log(p / p.sum())
+    return out
+
+
+class CharacterMap:
+    """Normaliser of a model file: a size, a double array of prefixes, and the
+    zero-terminated replacements that its values point to."""
+
+    def __init__(self, data: bytes):
+        size = int.from_bytes(data[:4], "little")
+        self.units = np.frombuffer(data[4 : 4 + size], "<u4").tolist()
+        self.texts = data[4 + size :]
+        # ASCII without a rule of its own stands for itself, if no combining character follows.
+        plain = b"".join(re.escape(bytes([c])) for c in range(32, 127) if not self._longest(bytes([c]), 0)[0])
+        self.plain = re.compile(b"[" + plain + rb"]+(?![\x80-\xff])") if plain else re.compile(rb"(?!)")
+
+    def __call__(self, text: bytes) -> bytes:
+        out, at = [], 0
+        while at < len(text):
+            if m := self.plain.match(text, at):
+                out.append(m[0])
+                at = m.end()
+                continue
+            length, value = self._longest(text, at)
+            if length:
+                out.append(self.texts[value : self.texts.index(0, value)])
+            else:
+                lead = text[at]
+                length = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                out.append(text[at : at + length])
+            at += length
+        return b"".join(out)
+
+    def _longest(self, text: bytes, at: int) -> tuple[int, int]:
+        """(bytes, value) of the longest prefix in the double array, zero if none.  A
+        unit holds a label in its low byte, a leaf flag in bit 8 and an offset above."""
+        units = self.units
+        node, found = self._offset(units[0]), (0, 0)
+        for i in range(at, len(text)):
+            node ^= text[i]
+            unit = units[node]
+            if unit & 0x800000FF != text[i]:
+                break
+            node ^= self._offset(unit)
+            if unit >> 8 & 1:
+                found = i + 1 - at, units[node] & 0x7FFFFFFF
+        return found
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return unit >> 10 << ((unit & 512) >> 6)
 
 
 class DoubleArray:
@@ -144,8 +220,7 @@ class Codec:
         self.model = model
         pieces, kinds, scores = model["pieces"], model["kinds"], model["scores"]
         ids = [i for i, k in enumerate(kinds) if k in (NORMAL, USER)]
-        if not model["plain"]:
-            raise ValueError("models with a character normaliser are not supported")
+        self.map = CharacterMap(model["charsmap"]) if model["charsmap"] else None
         if any(re.search(f"[^{MARK}]{MARK}", pieces[i]) for i in ids):
             raise ValueError("pieces with the marker after another character are not supported")
         self.trie = DoubleArray([pieces[i].encode() for i in ids])
@@ -168,13 +243,19 @@ class Codec:
         """A text as words: each a run of markers and what follows it."""
         if not text:
             return []
-        text = text.replace(MARK, " ")  # a marker in the text is the marker, as a space is
-        escaped = (" " + text if self.model["add_dummy_prefix"] else text).encode("utf-8", "surrogatepass")
-        return _WORD.findall(escaped)
+        data = text.encode("utf-8", "surrogatepass")
+        if self.map:
+            data = self.map(data)
+        data = data.replace(_MARK, b" ")  # a marker in the text is the marker, as a space is
+        if self.model["remove_extra_whitespaces"]:
+            data = re.sub(rb" +", b" ", data).strip(b" ")
+        if data and self.model["add_dummy_prefix"]:
+            data = b" " + data
+        return _WORD.findall(data)
 
     def viterbi(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all token ids, ends of each word's tokens) of distinct words."""
-        trie, words = self.trie, [w.replace(b" ", b"\xe2\x96\x81") for w in words]
+        trie, words = self.trie, [w.replace(b" ", _MARK) for w in words]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         n, total = len(words), int(lengths.sum())
         text = np.concatenate((np.frombuffer(b"".join(words), np.uint8).astype(np.int32) + 1, np.zeros(1, np.int32)))
@@ -390,7 +471,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """``doc_id, n_tokens, n_bytes_tokens, tokens_sha256, round_trip`` of every row:
+    """``doc_id, n_tokens, n_byte_tokens, tokens_sha256, round_trip`` of every row:
     ``tokens_sha256`` is over the ids as little-endian 32-bit integers and
     ``round_trip`` says that decoding them gives the text (null: the empty text)."""
     codec = load(docs.sparkSession, path)
