@@ -6,10 +6,11 @@ stretch of it is within ``floor((1 - similarity) * item words)`` word edits of
 the item.
 
 Windows.  For every item length ``n`` each stretch of ``n`` words of a document
-is a window (shorter at the document's end).  A window that can be within
-``e`` edits holds ``n - e`` words that items of this length have; windows with
-fewer are passed over, which loses nothing.  The test reads one table of fixed
-size (``SLOTS`` word hashes by 64 length classes), whatever the benchmark.
+is a window (shorter at the document's end).  An edit breaks two pairs of
+adjacent words at most, so a window within ``e`` edits of an item holds
+``n - 1 - 2e`` pairs that items of this length have; windows with fewer are
+passed over, which loses nothing.  The test reads one table of fixed size
+(``2**SLOT_BITS`` hashes of pairs by 64 length classes), whatever the benchmark.
 
 Candidates.  The CGK random walk embeds a window into three times its length:
 every step copies the current word, and a random bit of (step, word) says
@@ -48,8 +49,8 @@ from pyspark.sql import functions as F
 from .common import cut, document_key, packed, shuffle_partitions
 
 SIMILARITY, RECALL, SHARE, SAMPLED, WALKS = 0.8, 0.998, 0.6, 3, 8
-#: Word hashes told apart by the window test, words handled at once.
-SLOTS, BLOCK_WORDS = 1 << 20, 1 << 18
+#: Hashes told apart by the window test, words handled at once.
+SLOT_BITS, BLOCK_WORDS = 20, 1 << 18
 #: Largest broadcast sides: item keys by rows, item words by bytes, leaking documents by rows.
 KEY_ROWS, WORD_BYTES, DOCUMENT_ROWS = 4_000_000, 64 << 20, 2_000_000
 _GAPS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -71,6 +72,17 @@ def edits(n: int, similarity: float = SIMILARITY) -> int:
     return int(math.floor((1 - similarity) * n + 1e-9))
 
 
+def least_pairs(n: int, e: int) -> int:
+    """Word pairs (for ``n`` = 1: words) of an item that ``e`` edits leave in a window of ``n`` words."""
+    return n - 1 - 2 * e if n > 1 else 1 - e
+
+
+def slots(text: np.ndarray, n: int) -> np.ndarray:
+    """Slots of the word pairs (for ``n`` = 1: words) of a text."""
+    mixed = text * _SECOND if n == 1 else text[:-1] * _FIRST + text[1:] * _SECOND
+    return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def cgk(windows: np.ndarray, walks: int = WALKS) -> np.ndarray:
     """CGK embeddings of rows of word hashes under each of ``walks`` random
     walks: an array (walk, window, step)."""
@@ -138,14 +150,14 @@ def _items(batches):
 
 
 def _slots(lengths: list[int]):
-    """Words of items to (slot, length class) of the window test."""
+    """Items to (slot, length class) of the window test."""
     place = {n: i % 64 for i, n in enumerate(lengths)}
 
     def rows(batches):
         for b in batches:
             for n, raw in zip(b.column("n").to_pylist(), b.column("words").to_pylist()):
-                slots = np.unique(symbols(raw.split()) % np.uint64(SLOTS)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(len(slots), np.uint64(1) << np.uint64(place[n])).view(np.int64))], names=["slot", "bits"])
+                found = np.unique(slots(symbols(raw.split()), n)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), np.uint64(1) << np.uint64(place[n])).view(np.int64))], names=["slot", "bits"])
 
     return rows
 
@@ -155,7 +167,7 @@ class Windows:
 
     def __init__(self, lengths: list[int], table: np.ndarray, similarity: float):
         self.lengths = [(n, edits(n, similarity), i % 64) for i, n in enumerate(lengths)]
-        self.table = table
+        self.table, self.hits = table, None
 
     def regions(self, texts: list[list[bytes]]):
         """(text number, item length, region's first word, its words, keys) of each region with a window."""
@@ -163,17 +175,32 @@ class Windows:
         text = np.concatenate([*map(symbols, texts), np.empty(0, np.uint64)])
         ends = np.cumsum(sizes)
         begin, end = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
-        mask = self.table[(text % np.uint64(SLOTS)).astype(np.int64)]
-        count, ahead = np.zeros(len(text) + 1, np.int32), np.empty(len(text), np.int32)
         for n, e, bit in self.lengths:
-            np.cumsum((mask >> np.uint64(bit)).astype(np.uint8) & np.uint8(1), dtype=np.int32, out=count[1:])
-            # Across the ends of texts at first, then what is left within them.
-            inside = max(0, len(text) + 1 - n)
-            ahead[:inside], ahead[inside:] = count[n:][: len(text)], count[-1]
-            at = np.nonzero(ahead - count[:-1] >= n - e)[0]
-            at = at[count[np.minimum(at + n, end[at])] - count[at] >= n - e]
+            at = self._places(text, ends, begin, n, least_pairs(n, e), np.uint64(bit))
             for i in range(0, len(at), BLOCK_WORDS // n + 1):
                 yield from self._keyed(text, texts, ends, at[i : i + BLOCK_WORDS // n + 1], begin, end, n, e)
+        self.hits = None
+
+    def _places(self, text, ends, begin, n, least, bit):
+        """Where windows of ``n`` words begin that hold ``least`` known pairs."""
+        if least <= 0:
+            return np.arange(len(text))
+        if n == 1:
+            return np.nonzero(self.table[slots(text, 1)] >> bit & np.uint64(1))[0]
+        if self.hits is None:
+            mask = self.table[slots(text, 2)]
+            mask[ends[:-1] - 1] = 0  # no pair reaches across the end of a text
+            at = np.nonzero(mask)[0]
+            self.hits = at, mask[at]
+        at, mask = self.hits
+        at = at[(mask >> bit & np.uint64(1)).astype(bool)]
+        if len(at) < least:
+            return at[:0]
+        first, last = at[: len(at) - least + 1], at[least - 1 :]
+        low = np.maximum(last - (n - 2), begin[first])
+        fits = (low <= first) & (begin[first] == begin[last])
+        low, count = low[fits], (first - low + 1)[fits]
+        return np.unique(np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
 
     @staticmethod
     def _keyed(text, texts, ends, at, begin, end, n, e):
@@ -241,15 +268,23 @@ def _verify(similarity: float):
 
     def rows(batches):
         known: dict = {}
+
+        def near(raw, stretch):
+            item, found = raw.split(), stretch.split()
+            n = len(item)
+            there = set(found)
+            if sum(w in there for w in item) < n - edits(n, similarity):
+                return n + 1, 0, 0, n  # more words than edits are not there at all
+            number: dict[bytes, int] = {}
+            return *align(np.array([number.setdefault(w, len(number)) for w in item]), np.array([number.get(w, -1) for w in found])), n
+
         for b in batches:
             out = []
             for i, (first, stretch, raw) in enumerate(zip(b.column("first").to_pylist(), b.column("stretch").to_pylist(), b.column("words").to_pylist())):
                 if (found := known.get((stretch, raw))) is None:
                     if len(known) > 20_000:
                         known.clear()
-                    number: dict[bytes, int] = {}
-                    item = np.array([number.setdefault(w, len(number)) for w in raw.split()])
-                    found = known[stretch, raw] = (*align(item, np.array([number.get(w, -1) for w in stretch.split()])), len(item))
+                    found = known[stretch, raw] = near(raw, stretch)
                 d, x, y, n = found
                 if d <= edits(n, similarity):
                     out.append((i, d, first + x, first + y, n))
@@ -273,7 +308,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     distinct = items.drop("item_id").dropDuplicates(["item"])
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # at most the longest item's words
     slots = items.mapInArrow(_slots(lengths), "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(SLOTS, np.uint64)
+    table = np.zeros(1 << SLOT_BITS, np.uint64)
     table[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy().view(np.uint64)
     n_keys, n_bytes = items.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
 

@@ -106,25 +106,38 @@ def test_recall_of_the_hashing_alone():
 
 
 def test_window_test_loses_nothing(monkeypatch):
-    """The count of known words against a scan of all windows."""
+    """Every stretch within the edits of an item begins a window that is looked at."""
     rng = random.Random(10)
     items = [[f"w{rng.randint(0, 40)}" for _ in range(n)] for n in (1, 2, 5, 9, 9, 30)]
+    texts = [[f"w{rng.randint(0, 80)}" for _ in range(n)] for n in (1, 4, 7, 60)] + [edited(rng, x, decontam.edits(len(x))) for x in items for _ in range(4)]
+    texts += [texts[3][:20] + edited(rng, x, decontam.edits(len(x))) + texts[3][20:] for x in items for _ in range(4)]
     lengths = sorted({len(x) for x in items})
-    table = np.zeros(decontam.SLOTS, np.uint64)
-    for x in items:
-        table[(decontam.symbols([w.encode() for w in x]) % np.uint64(decontam.SLOTS)).astype(int)] |= np.uint64(1 << lengths.index(len(x)))
-    texts = [[f"w{rng.randint(0, 80)}".encode() for _ in range(n)] for n in (0, 1, 4, 7, 60, 200)]
-    seen = set()
+    texts = [[w.encode() for w in t] for t in texts if t]
     monkeypatch.setattr(decontam, "keys", lambda windows: np.zeros((len(windows), 1), np.int64))
-    for k, n, first, stretch, _ in decontam.Windows(lengths, table, 0.8).regions(texts):
-        assert texts[k][first : first + len(stretch.split())] == stretch.split()
-        seen |= {(k, n, *texts[k][at : at + n]) for at in range(first, first + len(stretch.split()))}
-    for k, t in enumerate(texts):
-        for n in lengths:
-            known = {w.encode() for x in items if len(x) == n for w in x}
-            for at in range(len(t)):
-                if sum(w in known for w in t[at : at + n]) >= n - decontam.edits(n):
-                    assert (k, n, *t[at : at + n]) in seen  # equal windows of a text stand for each other
+    for similarity in (0.8, 0.6, 0.3):
+        table = np.zeros(1 << decontam.SLOT_BITS, np.uint64)
+        for x in items:
+            table[decontam.slots(decontam.symbols([w.encode() for w in x]), len(x))] |= np.uint64(1 << lengths.index(len(x)))
+        seen, leaks = set(), 0
+        for k, n, first, stretch, _ in decontam.Windows(lengths, table, similarity).regions(texts):
+            assert texts[k][first : first + len(stretch.split())] == stretch.split()
+            seen |= {(k, n, *texts[k][at : at + n]) for at in range(first, first + len(stretch.split()))}
+        for k, t in enumerate(texts):
+            for x in items:
+                n, e = len(x), decontam.edits(len(x), similarity)
+                item = [w.encode() for w in x]
+                for at in range(len(t)):
+                    # Least edits of the item against stretches that begin here.
+                    row = list(range(len(t[at : at + n + e]) + 1))
+                    for i, w in enumerate(item, 1):
+                        new = [i]
+                        for j, v in enumerate(t[at : at + n + e], 1):
+                            new.append(min(row[j - 1] + (v != w), row[j] + 1, new[j - 1] + 1))
+                        row = new
+                    if min(row) <= e:
+                        leaks += 1
+                        assert (k, n, *t[at : at + n]) in seen  # equal windows of a text stand for each other
+        assert leaks > 30
 
 
 def test_beyond_the_broadcast_bounds(spark, sf_dir, monkeypatch):
