@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.lineage import cut
+
 
 def smallest_containing(segments: DataFrame, spans: DataFrame, keys: list[str], cell: int = 4096) -> DataFrame:
     """Each span (``s, e``) with the shortest segment that contains it, ties to
@@ -24,17 +24,19 @@ def smallest_containing(segments: DataFrame, spans: DataFrame, keys: list[str],
     return spans.join(best.select(*keys, "span_id", F.col("b.seg_ord").alias("seg_ord")), [*keys, "span_id"], "left")
 
 
-def resolve_up(nodes: DataFrame, max_depth: int = 50) -> DataFrame:
-    """``node_id, code``: a node's own code or that of its nearest ancestor with one."""
-    view = f"codes_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(view)
-    walk = nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up (node_id, at, code, distance) MAX RECURSION LEVEL {max_depth + 1} AS (
-          SELECT node_id, parent_id, code, 0 FROM {view}
-          UNION ALL
-          SELECT u.node_id, n.parent_id, n.code, u.distance + 1 FROM up u JOIN {view} n ON n.node_id = u.at WHERE u.code IS NULL
-        ) SELECT node_id, code, distance FROM up WHERE code IS NOT NULL""")
-    return walk.groupBy("node_id").agg(F.min_by("code", "distance").alias("code"))
+def resolve_up(nodes: DataFrame) -> DataFrame:
+    """``node_id, code``: a node's own code or that of its nearest ancestor with
+    one, by pointer doubling; a cycle without a code is an error."""
+    state = cut(nodes.select("node_id", F.when(F.col("code").isNull(), F.col("parent_id")).alias("at"), "code"))
+    before = None
+    while left := state.where("at is not null").count():
+        if left == before:
+            raise ValueError(f"{left} nodes are on or below a cycle")
+        before = left
+        up = state.select(F.col("node_id").alias("at"), F.col("at").alias("_at"), F.col("code").alias("_code"))
+        going = state.where("at is not null").join(up, "at").select("node_id", F.col("_at").alias("at"), F.col("_code").alias("code"))
+        state = cut(state.where("at is null").unionByName(going))
+    return state.where("code is not null").select("node_id", "code")
 
 
 def edge_counts(citations: DataFrame) -> DataFrame:
@@ -90,13 +92,17 @@ def page_range(items: DataFrame, overrides: DataFrame, offsets: DataFrame) -> Da
     )
 
 
-def page_lookup(pages: DataFrame, items: DataFrame) -> DataFrame:
+def page_lookup(pages: DataFrame, items: DataFrame, cell: int = 64) -> DataFrame:
     """Item of each page (doc, page): the first (``ord``) that contains it, else
-    the nearest that starts before it."""
-    pairs = pages.join(items, "doc").where("start <= page")
-    inside = F.col("page") <= F.col("end")
-    best = pairs.groupBy("doc", "page").agg(
-        F.min(F.when(inside, F.struct("ord", "item"))).alias("in"),
-        F.max(F.struct("start", (-F.col("ord")).alias("o"), "item")).alias("near"),
-    )
-    return pages.join(best, ["doc", "page"], "left").select("doc", "page", F.coalesce(F.col("in.item"), F.col("near.item")).alias("item"))
+    the nearest that starts before it.  Containment is a join by equality on
+    cells of ``cell`` pages, the nearest start one ordered pass over both sides."""
+    cells = F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("end") / cell)))
+    spread = items.where("end >= start").select("doc", "start", "end", "ord", "item", cells.alias("_cell"))
+    inside = pages.select("doc", "page", F.floor(F.col("page") / cell).alias("_cell")).distinct().join(spread, ["doc", "_cell"]).where("start <= page and page <= end")
+    first = inside.groupBy("doc", "page").agg(F.min(F.struct("ord", "item")).alias("in"))
+    starts = items.select("doc", F.col("start").alias("at"), F.struct("start", (-F.col("ord")).alias("o"), "item").alias("s"))
+    both = starts.unionByName(pages.select("doc", F.col("page").alias("at")), allowMissingColumns=True)
+    # Of items that start on the page itself all come before it.
+    order = Window.partitionBy("doc").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("near", F.max("s").over(order)).where("s is null").select("doc", F.col("at").alias("page"), F.col("near.item").alias("near"))
+    return near.join(first, ["doc", "page"], "left").select("doc", "page", F.coalesce(F.col("in.item"), F.col("near")).alias("item"))

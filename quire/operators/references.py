@@ -28,7 +28,7 @@ def _numbers(rows: DataFrame, code: str, conditions: DataFrame, *order: str) ->
     return known.groupBy("doc_id", "id").agg(F.min(F.struct(*order, "_pos", "number"))["number"].alias("number"))
 
 
-def resolve_segments(segments: DataFrame, conditions: DataFrame, max_depth: int = 50) -> DataFrame:
+def resolve_segments(segments: DataFrame, conditions: DataFrame) -> DataFrame:
     """``doc_id, id, number``: the condition of each segment, by its own code,
     its title or its first five children's codes, else by its nearest ancestor's."""
     by_code = _numbers(segments, "code_text", conditions).withColumn("how", F.lit(0))
@@ -41,7 +41,7 @@ def resolve_segments(segments: DataFrame, conditions: DataFrame, max_depth: int
     by_kids = _numbers(kids.join(codes, ["doc_id", "_child"]), "code_text", conditions, "_kid").withColumn("how", F.lit(2))
     own = by_code.unionByName(by_title).unionByName(by_kids).groupBy("doc_id", "id").agg(F.min_by("number", "how").alias("code"))
     nodes = segments.join(own, ["doc_id", "id"], "left").select(_node("doc_id", "id").alias("node_id"), F.when(F.col("parent").isNotNull(), _node("doc_id", "parent")).alias("parent_id"), "code")
-    found = graph.resolve_up(nodes, max_depth).withColumn("_at", F.split("node_id", "\x1f"))
+    found = graph.resolve_up(nodes).withColumn("_at", F.split("node_id", "\x1f"))
     return found.select(F.col("_at")[0].alias("doc_id"), F.col("_at")[1].alias("id"), F.col("code").alias("number"))
 
 

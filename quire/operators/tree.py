@@ -1,8 +1,15 @@
 """Trees as adjacency tables: descent, closure, roll-ups, outlines.
 
 Nodes have ``node_id``, ``parent_id`` (null at a root), ``title`` and an
-``ordinal`` among siblings.  Descent is a recursive query bounded by the depth
-of the tree, not by its size; a level is one shuffle on the parent key.
+``ordinal`` among siblings.  What a node gets from its ancestors or gives to
+them is worked out by pointer doubling: after ``r`` rounds every node knows its
+way up for ``2**r`` steps, so a tree of depth ``d`` takes ``log2(d)`` rounds of
+joins on the node key, each checkpointed, and no bound is set on rows or depth.
+A cycle is an error: it is found when a round finishes no node.
+
+Null titles make null breadcrumbs.  Nodes that no root reaches (a parent that
+is not there) have no place in a descent and count as roots in a closure or
+roll-up.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,82 +20,103 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import squeeze
+from quire.lineage import cut
 
 SEPARATOR = " › "
 
 
-def _recursive(nodes: DataFrame, sql: str, max_depth: int) -> DataFrame:
-    view = f"nodes_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(sql.format(nodes=view, limit=max_depth + 1))
-
-
-def descend(nodes: DataFrame, max_depth: int = 50) -> DataFrame:
+def _open(state: DataFrame, pointer: str, before: int | None) -> int:
+    """Nodes whose way up goes on; fewer than ``before``, or there is a cycle."""
+    n = state.where(F.col(pointer).isNotNull()).count()
+    if before is not None and n == before > 0:
+        raise ValueError(f"{n} nodes are on or below a cycle")
+    return n
+
+
+def _walk(nodes: DataFrame, orphans: bool) -> DataFrame:
+    """``node_id, parent_id, title, breadcrumb, path, ids``: titles, ordinals and
+    ids from the root down.  Without ``orphans`` nodes that no root reaches are left out."""
+    state = cut(nodes.select(
+        "node_id", "parent_id", "title", F.col("parent_id").alias("at"), F.col("title").alias("breadcrumb"), F.array("ordinal").alias("path"), F.array("node_id").alias("ids")
+    ))
+    left = _open(state, "at", None)
+    while left:
+        up = state.select(F.col("node_id").alias("at"), F.col("at").alias("_at"), F.col("breadcrumb").alias("_b"), F.col("path").alias("_p"), F.col("ids").alias("_i"), F.lit(True).alias("_there"))
+        going = state.where("at is not null").join(up, "at", "left" if orphans else "inner")
+        there = F.col("_there").isNotNull()
+        further = going.select(
+            "node_id", "parent_id", "title", F.col("_at").alias("at"), F.when(there, F.concat("_b", F.lit(SEPARATOR), "breadcrumb")).otherwise(F.col("breadcrumb")).alias("breadcrumb"),
+            F.when(there, F.concat("_p", "path")).otherwise(F.col("path")).alias("path"), F.when(there, F.concat("_i", "ids")).otherwise(F.col("ids")).alias("ids"),
+        )
+        state = cut(state.where("at is null").unionByName(further))
+        left = _open(state, "at", left)
+    return state.drop("at")
+
+
+def descend(nodes: DataFrame) -> DataFrame:
     """``node_id, parent_id, title, depth, breadcrumb, path`` of every node that
     a root reaches; sorting by ``path`` is pre-order."""
-    return _recursive(
-        nodes,
-        f"""
-        WITH RECURSIVE walk (node_id, parent_id, title, depth, breadcrumb, path) MAX RECURSION LEVEL {{limit}} AS (
-          SELECT node_id, parent_id, title, 0, title, array(ordinal) FROM {{nodes}} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.node_id, n.parent_id, n.title, w.depth + 1, concat(w.breadcrumb, '{SEPARATOR}', n.title), concat(w.path, array(n.ordinal))
-          FROM {{nodes}} n JOIN walk w ON n.parent_id = w.node_id
-        ) SELECT * FROM walk""",
-        max_depth,
-    )
+    return _walk(nodes, False).select("node_id", "parent_id", "title", (F.size("path") - 1).alias("depth"), "breadcrumb", "path")
 
 
-def closure(nodes: DataFrame, max_depth: int = 50) -> DataFrame:
+def closure(nodes: DataFrame) -> DataFrame:
     """``ancestor, descendant, distance``, each node with itself included."""
-    return _recursive(
-        nodes,
-        """
-        WITH RECURSIVE up (ancestor, descendant, distance) MAX RECURSION LEVEL {limit} AS (
-          SELECT node_id, node_id, 0 FROM {nodes}
-          UNION ALL
-          SELECT n.parent_id, u.descendant, u.distance + 1 FROM up u JOIN {nodes} n ON n.node_id = u.ancestor WHERE n.parent_id IS NOT NULL
-        ) SELECT * FROM up""",
-        max_depth,
-    )
-
-
-def rollup_pages(nodes: DataFrame, max_depth: int = 50) -> DataFrame:
-    """``node_id, page_start, page_end`` over each subtree (columns page_min, page_max)."""
-    own = nodes.select(F.col("node_id").alias("descendant"), "page_min", "page_max")
-    return (
-        closure(nodes, max_depth).join(own, "descendant").groupBy(F.col("ancestor").alias("node_id"))
-        .agg(F.min("page_min").alias("page_start"), F.max("page_max").alias("page_end"), F.count("*").alias("subtree_size"))
-    )
-
-
-def full_text(nodes: DataFrame, max_depth: int = 50) -> DataFrame:
-    """``node_id, text_full``: titles of each subtree in pre-order, one per line."""
-    placed = descend(nodes, max_depth).select(F.col("node_id").alias("descendant"), "path", "title")
-    return (
-        closure(nodes, max_depth).join(placed, "descendant").groupBy(F.col("ancestor").alias("node_id"))
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "title"))), lambda x: x["title"]), "\n").alias("text_full"))
-    )
-
-
-def outline(nodes: DataFrame, max_depth: int = 50) -> DataFrame:
+    above = _walk(nodes, True).select(F.col("node_id").alias("descendant"), F.posexplode(F.reverse("ids")).alias("distance", "ancestor"))
+    return above.select("ancestor", "descendant", "distance")
+
+
+def rollup_pages(nodes: DataFrame) -> DataFrame:
+    """``node_id, page_start, page_end, subtree_size`` over each subtree (columns
+    page_min, page_max).  In round ``r`` a node gives what it gathered from less
+    than ``2**r`` steps below to its ancestor ``2**r`` steps above, so nothing
+    is counted twice and no list of descendants is made."""
+    state = cut(nodes.select("node_id", F.col("parent_id").alias("up"), "page_min", "page_max", F.lit(1).cast("long").alias("n")))
+    left = _open(state, "up", None)
+    while left:
+        given = state.where("up is not null").groupBy(F.col("up").alias("node_id")).agg(F.min("page_min").alias("_low"), F.max("page_max").alias("_high"), F.sum("n").alias("_n"))
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("_up"))
+        state = cut(state.join(given, "node_id", "left").join(above, "up", "left").select(
+            "node_id", F.col("_up").alias("up"), F.least("page_min", "_low").alias("page_min"), F.greatest("page_max", "_high").alias("page_max"),
+            (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
+        ))
+        left = _open(state, "up", left)
+    return state.select("node_id", F.col("page_min").alias("page_start"), F.col("page_max").alias("page_end"), F.col("n").alias("subtree_size"))
+
+
+def full_text(nodes: DataFrame) -> DataFrame:
+    """``node_id, text_full``: titles of each subtree in pre-order, one per line.
+    The result itself has a title once for every ancestor; a node's text is one
+    value and must fit in memory."""
+    placed = _walk(nodes, False).select(F.explode("ids").alias("node_id"), "path", "title")
+    lines = F.sort_array(F.collect_list(F.struct("path", "title")))
+    return placed.groupBy("node_id").agg(F.array_join(F.transform(lines, lambda x: x["title"]), "\n").alias("text_full"))
+
+
+def outline(nodes: DataFrame) -> DataFrame:
     """``path, line``: titles indented by depth, blank titles left out."""
-    placed = descend(nodes, max_depth).where(F.trim("title") != "")
+    placed = descend(nodes).where(F.trim("title") != "")
     return placed.select("path", F.concat(F.repeat(F.lit("\t"), F.col("depth")), F.trim("title")).alias("line"))
 
 
-def flatten_json(documents: DataFrame, column: str, max_depth: int = 50) -> DataFrame:
+def flatten_json(documents: DataFrame, column: str) -> DataFrame:
     """Nodes of a nested JSON tree (``title`` and ``children``) with path ids:
-    ``doc_id, node_id, parent_id, title, ordinal, depth``."""
-    view = f"trees_{uuid.uuid4().hex}"
-    documents.select("doc_id", F.parse_json(F.col(column)).alias("tree")).createOrReplaceTempView(view)
-    return documents.sparkSession.sql(f"""
-        WITH RECURSIVE walk (doc_id, node_id, parent_id, title, ordinal, depth, children) MAX RECURSION LEVEL {max_depth + 1} AS (
-          SELECT doc_id, '0', CAST(NULL AS STRING), variant_get(tree, '$.title', 'string'), 0, 0, try_variant_get(tree, '$.children', 'variant') FROM {view}
-          UNION ALL
-          SELECT w.doc_id, concat(w.node_id, '.', c.pos), w.node_id, variant_get(c.value, '$.title', 'string'), c.pos, w.depth + 1, try_variant_get(c.value, '$.children', 'variant')
-          FROM walk w, LATERAL variant_explode(w.children) c
-        ) SELECT doc_id, node_id, parent_id, title, ordinal, depth FROM walk""")
+    ``doc_id, node_id, parent_id, title, ordinal, depth``.  One pass a level."""
+    spark, view = documents.sparkSession, f"trees_{uuid.uuid4().hex}"
+    tree = documents.select("doc_id", F.parse_json(F.col(column)).alias("tree")).where("tree is not null")
+    level = cut(tree.select(
+        "doc_id", F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.expr("try_variant_get(tree, '$.title', 'string')").alias("title"),
+        F.lit(0).alias("ordinal"), F.lit(0).alias("depth"), F.expr("try_variant_get(tree, '$.children', 'variant')").alias("children"),
+    ))
+    found = level.drop("children")
+    while not level.where("children is not null").isEmpty():
+        level.createOrReplaceTempView(view)
+        level = cut(spark.sql(f"""
+            SELECT w.doc_id, concat(w.node_id, '.', c.pos) AS node_id, w.node_id AS parent_id, try_variant_get(c.value, '$.title', 'string') AS title, c.pos AS ordinal, w.depth + 1 AS depth,
+              try_variant_get(c.value, '$.children', 'variant') AS children
+            FROM {view} w, LATERAL variant_explode(w.children) c"""))
+        found = found.unionByName(level.drop("children"))
+    spark.catalog.dropTempView(view)
+    return found
 
 
 def hierarchy(nodes: DataFrame, parent_kind: str = "part", child_kind: str = "condition", palette: int = 12) -> DataFrame:
