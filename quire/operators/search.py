@@ -2,26 +2,31 @@
 
 Every ranked list is per query: a frame with ``query_id``, an item id, a rank
 from 1 and a score, so one plan serves a batch of queries.  Query sides are
-small by contract; they are broadcast only under ``QUERY_BYTES``.
+broadcast only up to a counted number of rows (``QUERY_ROWS``, ``TERM_ROWS``);
+beyond it the same joins shuffle.
+
+Vectors that are null, zero or hold null or non-finite components take no part,
+nor do vectors of another length than the query's.  Items without text have no
+word; a query without a word but stop words finds nothing.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire import models
-from quire.functions import vector
-from quire.functions.text import question_route, tokens
-
-#: Broadcast bound of a query side, by the optimiser's size estimate.
-QUERY_BYTES = 64 << 20
-
+from quire.functions.text import lexemes, question_route, tokens
+from quire.lineage import bounded, cut
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast hint, if Catalyst's own estimate of the side is under the bound."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= QUERY_BYTES else df
+QUERY_ROWS, TERM_ROWS = 100_000, 2_000_000
+#: Vectors of a pack; packs of queries that are broadcast (40 MB at 64 components).
+PACK, PACK_ROWS = 4_096, 20
+_TIE = 1e-9
 
 
 def _top(df: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFrame:
@@ -29,52 +34,112 @@ def _top(df: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFrame
     return ranked.where(F.col(rank) <= k)
 
 
+def _packs(df: DataFrame, id_: str, vector: str, prefix: str) -> DataFrame:
+    """Rows (ids, width, vectors as one block of doubles) of up to ``PACK`` vectors each."""
+    kind = T.StructType([T.StructField(f"{prefix}_ids", T.ArrayType(df.schema[id_].dataType)), T.StructField(f"{prefix}_width", T.IntegerType()), T.StructField(f"{prefix}_block", T.BinaryType())])
+
+    def rows(batches):
+        for b in batches:
+            lists, ids = b.column(1), b.column(0)
+            widths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            for width in np.unique(widths[widths > 0]).tolist():
+                at = np.nonzero(widths == width)[0]
+                x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                fine = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                at, x = at[fine], x[fine]
+                for i in range(0, len(at), PACK):
+                    part = ids.take(pa.array(at[i : i + PACK]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.array([width], pa.int32()), pa.array([x[i : i + PACK].tobytes()], pa.binary())], names=kind.names
+                    )
+
+    return df.select(id_, F.col(vector).cast("array<double>").alias(vector)).mapInArrow(rows, kind)
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from the first component to the last, whatever else is compared."""
+    return np.add.accumulate(a * b, axis=1)[:, -1]
+
+
+def _best_pairs(k: int):
+    """Pairs of packs to the ``k`` best items of each query (and all that tie with the last)."""
+
+    def rows(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i] for c in b.schema.names}
+                width = r["i_width"].as_py()
+                x, q = (np.frombuffer(r[c].as_buffer(), np.float64).reshape(-1, width) for c in ("i_block", "q_block"))
+                nx, nq = np.sqrt(_dot(x, x)), np.sqrt(_dot(q, q))
+                unit = x / nx[:, None]
+                for j in range(0, len(q), 512):
+                    near = (q[j : j + 512] / nq[j : j + 512, None]) @ unit.T
+                    least = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
+                    a, c = np.nonzero(near >= least[:, None] - _TIE)
+                    score = _dot(q[j + a], x[c]) / (nq[j + a] * nx[c])
+                    yield pa.RecordBatch.from_arrays([r["q_ids"].values.take(pa.array(j + a)), r["i_ids"].values.take(pa.array(c)), pa.array(score)], names=["query_id", "item_id", "score"])
+
+    return rows
+
+
 def dense_topk(queries: DataFrame, items: DataFrame, k: int = 25) -> DataFrame:
     """``query_id, item_id, score, rank`` of the ``k`` items of largest cosine.
 
-    ``queries``: query_id, qvec.  ``items``: item_id, vec.  Exact: every item
-    is scored against every query; the window keeps k per query and partition
-    before its shuffle.
+    ``queries``: query_id, qvec.  ``items``: item_id, vec.  Exact: blocks of the
+    query set meet packs of items as matrix products; each pair of packs hands
+    on its ``k`` best alone, scored once more in component order.
     """
-    scored = items.join(_bounded(queries)).select("query_id", "item_id", vector.cosine(F.col("vec"), F.col("qvec")).alias("score"))
-    return _top(scored, k, F.col("score").desc_nulls_last(), F.col("item_id"))
+    blocks = bounded(_packs(queries.coalesce(8), "query_id", "qvec", "q"), PACK_ROWS)
+    pairs = _packs(items, "item_id", "vec", "i").crossJoin(blocks).where("i_width = q_width")
+    kinds = [queries.schema["query_id"].dataType, items.schema["item_id"].dataType, T.DoubleType()]
+    names = ["query_id", "item_id", "score"]
+    scored = pairs.mapInArrow(_best_pairs(k), T.StructType([T.StructField(n, t) for n, t in zip(names, kinds)]))
+    return _top(scored, k, F.col("score").desc(), F.col("item_id"))
 
 
-def postings(items: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """``item_id, token, tf, dl``: term frequencies and document lengths, of the
-    tokens in ``only`` (token) where it is given: others are dropped before
-    they are shuffled."""
-    words = items.select("item_id", tokens(F.col("text")).alias("words"))
-    # An inner explode would have its input's size tested first, tokenising every text again.
-    rows = words.select("item_id", F.size("words").alias("dl"), F.explode_outer("words").alias("token")).where("token is not null")
-    if only is not None:
-        rows = rows.join(_bounded(only.select("token").distinct()), "token", "left_semi")
-    return rows.groupBy("item_id", "dl", "token").agg(F.count("*").alias("tf"))
+def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
+    """Distinct lexemes of each query (query_id, text)."""
+    return queries.select("query_id", F.explode(F.array_distinct(lexemes(F.col("text"), stemmed))).alias("token"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """Distinct tokens of each query (query_id, text)."""
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+def postings(items: DataFrame, only: DataFrame, stemmed: bool = False) -> DataFrame:
+    """``item_id, token, tf, dl``: how often the text of an item holds each token
+    of ``only`` (token), and the length of the text in tokens.  A token that stands in the
+    ``header`` alone (if there is that column) has ``tf`` 0.  Every item with
+    text has a row of the empty token as well, so that one pass tells lengths
+    too.  Other tokens are dropped before anything is shuffled."""
+    def analysed(text):
+        # Without stems no query term is a stop word, so the join drops those.
+        return lexemes(text, True) if stemmed else tokens(text)
+
+    none = F.array().cast("array<string>")
+    words = items.where("text is not null").select("item_id", analysed(F.col("text")).alias("words"), F.coalesce(analysed(F.col("header")), none).alias("heads") if "header" in items.columns else none.alias("heads"))
+    # An inner explode would have its input's size tested first, tokenising every text again.
+    rows = words.select("item_id", F.size("words").alias("dl"), F.posexplode_outer(F.concat(F.array(F.lit("")), "words", "heads")).alias("at", "token"))
+    wanted = bounded(only.select("token").union(only.sparkSession.sql("SELECT ''")).distinct(), TERM_ROWS)
+    return rows.join(wanted, "token", "left_semi").groupBy("item_id", "dl", "token").agg(F.count_if((F.col("at") > 0) & (F.col("at") <= F.col("dl"))).alias("tf"))
 
 
-def lexical_topk(queries: DataFrame, items: DataFrame, k: int = 25) -> DataFrame:
-    """OR-match of any query token, scored a tenth per matching position."""
-    terms = query_terms(queries)
-    hits = postings(items, terms).join(_bounded(terms), "token")
+def lexical_topk(queries: DataFrame, items: DataFrame, k: int = 25, stemmed: bool = False) -> DataFrame:
+    """OR-match of any query lexeme in text or header, scored a tenth for each
+    matching position of the text (the cover density of single lexemes)."""
+    terms = cut(query_terms(queries, stemmed))
+    hits = postings(items, terms, stemmed).join(bounded(terms, TERM_ROWS), "token")
     scored = hits.groupBy("query_id", "item_id").agg((F.sum("tf") * 0.1).alias("score"))
     return _top(scored, k, F.col("score").desc(), F.col("item_id"))
 
 
-def bm25_topk(queries: DataFrame, items: DataFrame, k: int = 25, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 with the non-negative idf."""
-    stats = items.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
-    terms = query_terms(queries)
-    wanted = postings(items, terms)
-    df = wanted.groupBy("token").agg(F.count("*").alias("df"))
+def bm25_topk(queries: DataFrame, items: DataFrame, k: int = 25, k1: float = 1.2, b: float = 0.75, stemmed: bool = False) -> DataFrame:
+    """Okapi BM25 over texts with the non-negative idf.  Texts are tokenised once."""
+    terms = cut(query_terms(queries, stemmed))
+    rows = cut(postings(items, terms, stemmed))
+    stats = rows.where("token = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    df = rows.where("tf > 0").groupBy("token").agg(F.count("*").alias("df"))
+    weighed = bounded(terms.join(df, "token"), TERM_ROWS)
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1)
     weight = weight / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = wanted.join(df, "token").join(F.broadcast(stats)).select("item_id", "token", weight.alias("w"))
-    scored = hits.join(_bounded(terms), "token").groupBy("query_id", "item_id").agg(F.sum("w").alias("score"))
+    hits = rows.where("tf > 0").join(weighed, "token").join(F.broadcast(stats))
+    scored = hits.groupBy("query_id", "item_id").agg(F.sum(weight).alias("score"))
     return _top(scored, k, F.round("score", 9).desc(), F.col("item_id"))
 
 
@@ -91,11 +156,14 @@ def rrf(dense: DataFrame, lexical: DataFrame, k: int = 60, limit: int = 20, w_de
 
 
 def overlap_rerank(queries: DataFrame, candidates: DataFrame, items: DataFrame) -> DataFrame:
-    """Stand-in reranker: Jaccard of query and item tokens; adds ``rerank_rank, rerank_score``."""
+    """Stand-in reranker: Jaccard of query and item tokens; adds ``rerank_rank,
+    rerank_score``.  Only texts of candidates are tokenised."""
+    candidates = cut(candidates)
     q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("_q"))
-    t = items.select("item_id", F.array_distinct(tokens(F.left(F.col("text"), F.lit(6000)))).alias("_t"))
+    some = items.join(candidates.select("item_id").distinct(), "item_id", "left_semi")
+    t = some.select("item_id", F.array_distinct(tokens(F.left(F.col("text"), F.lit(6000)))).alias("_t"))
     score = F.size(F.array_intersect("_q", "_t")) / F.greatest(F.size(F.array_union("_q", "_t")), F.lit(1))
-    scored = candidates.join(_bounded(q), "query_id").join(t, "item_id").withColumn("rerank_score", score).drop("_q", "_t")
+    scored = candidates.join(bounded(q, QUERY_ROWS), "query_id").join(t, "item_id").withColumn("rerank_score", score).drop("_q", "_t")
     return scored.withColumn("rerank_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "rrf_rank")))
 
 
@@ -108,7 +176,7 @@ def rank_fusion(reranked: DataFrame, k: int = 60, missing: int = 100, limit: int
 def move_to_front(ranked: DataFrame, picks: DataFrame, pool: int = 5) -> DataFrame:
     """A judge's pick (query_id, best: zero-based place in the pool) first; a
     pick that is missing or out of range changes nothing."""
-    joined = ranked.join(_bounded(picks), "query_id", "left")
+    joined = ranked.join(bounded(picks, QUERY_ROWS), "query_id", "left")
     front = F.col("best").isNotNull() & F.col("best").between(0, pool - 1) & (F.col("final_rank") == F.col("best") + 1)
     order = Window.partitionBy("query_id").orderBy(F.when(front, 0).otherwise(1), "final_rank")
     return joined.withColumn("judged_rank", F.row_number().over(order)).drop("best")

@@ -98,27 +98,34 @@ def outline(nodes: DataFrame) -> DataFrame:
     return placed.select("path", F.concat(F.repeat(F.lit("\t"), F.col("depth")), F.trim("title")).alias("line"))
 
 
-def flatten_json(documents: DataFrame, column: str) -> DataFrame:
-    """Nodes of a nested JSON tree (``title`` and ``children``) with path ids:
-    ``doc_id, node_id, parent_id, title, ordinal, depth``.  One pass a level."""
-    spark, view = documents.sparkSession, f"trees_{uuid.uuid4().hex}"
-    tree = documents.select("doc_id", F.parse_json(F.col(column)).alias("tree")).where("tree is not null")
-    level = cut(tree.select(
-        "doc_id", F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.expr("try_variant_get(tree, '$.title', 'string')").alias("title"),
-        F.lit(0).alias("ordinal"), F.lit(0).alias("depth"), F.expr("try_variant_get(tree, '$.children', 'variant')").alias("children"),
-    ))
+def levels(first: DataFrame, step: str) -> DataFrame:
+    """``first`` and what the SQL ``step`` makes of each level in turn, read as
+    ``{level}``, until a level has no ``children`` (a column, left out at last).
+    Every level is checkpointed; none reads more than the one above it."""
+    view, level = f"level_{uuid.uuid4().hex}", cut(first)
     found = level.drop("children")
     while not level.where("children is not null").isEmpty():
         level.createOrReplaceTempView(view)
-        level = cut(spark.sql(f"""
-            SELECT w.doc_id, concat(w.node_id, '.', c.pos) AS node_id, w.node_id AS parent_id, try_variant_get(c.value, '$.title', 'string') AS title, c.pos AS ordinal, w.depth + 1 AS depth,
-              try_variant_get(c.value, '$.children', 'variant') AS children
-            FROM {view} w, LATERAL variant_explode(w.children) c"""))
+        level = cut(first.sparkSession.sql(step.format(level=view)))
         found = found.unionByName(level.drop("children"))
-    spark.catalog.dropTempView(view)
+    first.sparkSession.catalog.dropTempView(view)
     return found
 
 
+def flatten_json(documents: DataFrame, column: str) -> DataFrame:
+    """Nodes of a nested JSON tree (``title`` and ``children``) with path ids:
+    ``doc_id, node_id, parent_id, title, ordinal, depth``."""
+    tree = documents.select("doc_id", F.parse_json(F.col(column)).alias("tree")).where("tree is not null")
+    first = tree.select(
+        "doc_id", F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.expr("try_variant_get(tree, '$.title', 'string')").alias("title"),
+        F.lit(0).alias("ordinal"), F.lit(0).alias("depth"), F.expr("try_variant_get(tree, '$.children', 'variant')").alias("children"),
+    )
+    return levels(first, """
+        SELECT w.doc_id, concat(w.node_id, '.', c.pos) AS node_id, w.node_id AS parent_id, try_variant_get(c.value, '$.title', 'string') AS title, c.pos AS ordinal, w.depth + 1 AS depth,
+          try_variant_get(c.value, '$.children', 'variant') AS children
+        FROM {level} w, LATERAL variant_explode(w.children) c""")
+
+
 def hierarchy(nodes: DataFrame, parent_kind: str = "part", child_kind: str = "condition", palette: int = 12) -> DataFrame:
     """One row per parent of ``parent_kind``: place, colour index, display title
     and its direct children of ``child_kind`` as an ordered array."""

@@ -30,6 +30,8 @@ def query(sql: str | None = None):
 # ---------------------------------------------------------------- retrieval
 
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_LEXEMES = f"list_filter({_TOKENS}, lambda x: x NOT IN ({_STOP}))"
 _E = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings"
 _COS = "list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v)))"
 
@@ -85,13 +87,14 @@ def recall_stability(spark: SparkSession, d: str) -> DataFrame:
 
 def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return q, table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    header = F.concat_ws(" ", "lang", "source").alias("header")
+    return q, table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text", header)
 
 
 _POST = f"""
-w AS (SELECT doc_id AS item_id, {_TOKENS.format('text')} AS ws FROM documents WHERE text IS NOT NULL),
-p AS (SELECT item_id, dl, token, count(*) AS tf FROM (SELECT item_id, len(ws) AS dl, unnest(ws) AS token FROM w) GROUP BY ALL),
-t AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format('text')}) AS token FROM benchmark)"""
+w AS (SELECT doc_id AS item_id, {_TOKENS.format('text')} AS ws, {_TOKENS.format("concat_ws(' ', lang, source)")} AS hs FROM documents WHERE text IS NOT NULL),
+p AS (SELECT item_id, dl, token, sum(x) AS tf FROM (SELECT item_id, len(ws) AS dl, unnest(ws) AS token, 1 AS x FROM w UNION ALL SELECT item_id, len(ws), unnest(hs), 0 FROM w) GROUP BY ALL),
+t AS (SELECT DISTINCT item_id AS query_id, unnest({_LEXEMES.format('text')}) AS token FROM benchmark)"""
 
 
 @query(f"""
@@ -103,29 +106,36 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_POST}, st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w), df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+WITH {_POST}, st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w), df AS (SELECT token, count(*) AS df FROM p WHERE tf > 0 GROUP BY token),
 s AS (SELECT query_id, item_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
-      FROM p JOIN t USING (token) JOIN df USING (token), st GROUP BY query_id, item_id),
+      FROM p JOIN t USING (token) JOIN df USING (token), st WHERE tf > 0 GROUP BY query_id, item_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, item_id, round(score, 5) AS score, rank FROM r WHERE rank <= 25""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25_topk(*_texts(spark, d)).withColumn("score", F.round("score", 5))
 
 
+@query()
+def stemmed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """``lexical_topk`` over English stems, which the checker's SQL lacks."""
+    q, items = _texts(spark, d)
+    return search.lexical_topk(q, items, stemmed=True).withColumn("score", F.round("score", 6).cast("double"))
+
+
 def _hybrid_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as queries with the vector of the same id; documents as items likewise."""
+    """Benchmark items as queries and documents as items, each with the vector of the same id if there is one."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    q = table(spark, d, "benchmark").join(e, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), "text", F.col("vec").alias("qvec"))
-    items = table(spark, d, "documents").join(e, F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("item_id"), "text", "vec")
+    q = table(spark, d, "benchmark").join(e, F.col("item_id") == F.col("id"), "left").select(F.col("item_id").alias("query_id"), "text", F.col("vec").alias("qvec"))
+    items = table(spark, d, "documents").join(e, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("item_id"), "text", "vec")
     return q, items
 
 
 _FUSED = rf"""
-WITH e AS ({_E}), i AS (SELECT doc_id AS item_id, text, v FROM documents JOIN e ON doc_id = vec_id WHERE text IS NOT NULL), q AS (SELECT item_id AS query_id, text, v FROM benchmark JOIN e ON item_id = vec_id),
-ds AS (SELECT query_id, e.item_id, {_COS} AS s FROM q, i e),
+WITH e AS ({_E}), i AS (SELECT doc_id AS item_id, text, v FROM documents LEFT JOIN e ON doc_id = vec_id WHERE text IS NOT NULL), q AS (SELECT item_id AS query_id, text, v FROM benchmark LEFT JOIN e ON item_id = vec_id),
+ds AS (SELECT query_id, e.item_id, {_COS} AS s FROM q, i e WHERE q.v IS NOT NULL AND e.v IS NOT NULL),
 d AS (SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS dense_rank FROM ds) WHERE dense_rank <= 25),
 p AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS token FROM i) GROUP BY ALL),
-t AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('text')}) AS token FROM q),
+t AS (SELECT DISTINCT query_id, unnest({_LEXEMES.format('text')}) AS token FROM q),
 ls AS (SELECT query_id, item_id, sum(tf) AS s FROM p JOIN t USING (token) GROUP BY ALL),
 l AS (SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS lexical_rank FROM ls) WHERE lexical_rank <= 25),
 f AS (SELECT query_id, item_id, dense_rank, lexical_rank, coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) AS rrf_score FROM d FULL JOIN l USING (query_id, item_id)),
@@ -376,14 +386,12 @@ def sequence_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _doc_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of documents, once for each text (the first document's), labelled by length."""
-    docs = table(spark, d, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_id", "text"))
+    """Lines of all documents, labelled by length."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_id", "text"))
     return rows.withColumn("label", F.when(F.length("text") % 11 == 0, "page_header").when(F.length("text") % 13 == 0, "section_header").otherwise("text"))
 
 
-_LINES = """docs AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1),
-x AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM docs),
+_LINES = """x AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS line_id, unnest(parts) AS text FROM x),
 t AS (SELECT *, CASE WHEN length(text) % 11 = 0 THEN 'page_header' WHEN length(text) % 13 = 0 THEN 'section_header' ELSE 'text' END AS label FROM l)"""
 _JUNK = r"regexp_matches(text, '(?i)^DRAFT:|^\d+$|Note to Reader:|^\[.*\]$|^OFFICIAL\s*$')"

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import tree
+
 OCR = """
 texts array<struct<self_ref:string,label:string,text:string,orig:string,
   prov:array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double>>>>>,
@@ -62,7 +64,7 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("q.id").alias("query_id"), "q.query", F.explode_outer("q.gold").alias("g")).select("query_id", "query", "g.document_id", "g.condition", "g.title")
 
 
-def read_stacked(spark: SparkSession, path: str, max_depth: int = 50) -> dict[str, DataFrame]:
+def read_stacked(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Relations ``document, node, annex_item`` of stacked documents, whose tree
     is of any depth.  Nodes come with a path of ordinals (pre-order when
     sorted), their parent's path, and ``text_full`` where the file has it."""
@@ -77,15 +79,16 @@ def read_stacked(spark: SparkSession, path: str, max_depth: int = 50) -> dict[st
     fields = {"kind": "string", "number": "string", "title": "string", "page": "int", "line_id": "int", "text_full": "string"}
 
     def picks(v: str) -> str:
-        return ", ".join(f"try_variant_get({v}, '$.{n}', '{k}')" for n, k in fields.items())
-
-    node = spark.sql(f"""
-        WITH RECURSIVE walk (document_id, path, parent_path, depth, {", ".join(fields)}, children) MAX RECURSION LEVEL {max_depth + 1} AS (
-          SELECT variant_get(j, '$.document.id', 'string'), array(0), CAST(NULL AS ARRAY<INT>), 0, {picks("try_variant_get(j, '$.main_body', 'variant')")}, try_variant_get(j, '$.main_body.children', 'variant') FROM {view}
-          UNION ALL
-          SELECT w.document_id, concat(w.path, array(c.pos)), w.path, w.depth + 1, {picks("c.value")}, try_variant_get(c.value, '$.children', 'variant')
-          FROM walk w, LATERAL variant_explode(w.children) c
-        ) SELECT document_id, path, parent_path, depth, {", ".join(fields)} FROM walk""")
+        return ", ".join(f"try_variant_get({v}, '$.{n}', '{k}') AS {n}" for n, k in fields.items())
+
+    body = "try_variant_get(j, '$.main_body', 'variant')"
+    first = rows.selectExpr(
+        "try_variant_get(j, '$.document.id', 'string') AS document_id", "array(0) AS path", "CAST(NULL AS ARRAY<INT>) AS parent_path", "0 AS depth",
+        *[f"try_variant_get({body}, '$.{n}', '{k}') AS {n}" for n, k in fields.items()], "try_variant_get(j, '$.main_body.children', 'variant') AS children",
+    )
+    node = tree.levels(first, f"""
+        SELECT w.document_id, concat(w.path, array(c.pos)) AS path, w.path AS parent_path, w.depth + 1 AS depth, {picks("c.value")}, try_variant_get(c.value, '$.children', 'variant') AS children
+        FROM {{level}} w, LATERAL variant_explode(w.children) c""")
     annex = spark.sql(f"""
         SELECT variant_get(j, '$.document.id', 'string') AS document_id, CAST(a.key AS INT) AS annex_id, try_variant_get(a.value, '$.text', 'string') AS text, try_variant_get(a.value, '$.label', 'string') AS label
         FROM {view}, LATERAL variant_explode(try_variant_get(j, '$.annexes', 'variant')) a""")

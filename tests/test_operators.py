@@ -166,3 +166,38 @@ def test_hybrid_items_without_vector(spark):
     fused = {r["item_id"]: (r["dense_rank"], r["lexical_rank"]) for r in hybrid.hybrid(queries, items).collect()}
     assert fused == {10: (1, None), 11: (None, 1)}
     assert {r["item_id"] for r in hybrid.reranked(queries, items).collect()} == {10, 11}
+
+
+def test_stems_and_lexemes(spark):
+    from quire.functions.stem import stem
+
+    published = "consistently consist consolatory consolatori consoles consol conspiracy conspiraci constables constabl knackeries knackeri knavish knavish kneeling kneel knightly knight knitted knit knives knive knocker knocker skies sky dying die news news".split()
+    assert [stem(w) for w in published[::2]] == published[1::2]
+    assert [stem(w) for w in "hopping hoped cries gas relational activities obligations generally sensational y'all at".split()] == "hop hope cri gas relat activ oblig general sensat y'all at".split()
+    assert one(spark, "The Payments of the PAYMENT, 2nd (obligations)!", lambda t: X.lexemes(t, True)) == ["payment", "payment", "2nd", "oblig"]
+    rows = spark.createDataFrame([("",), (None,), ("the of",), ("running runs",)], "x string").select(X.lexemes(F.col("x"), True).alias("y")).collect()
+    assert [r["y"] for r in rows] == [[], None, [], ["run", "run"]]
+
+
+def test_lexical_search(spark):
+    from quire.operators import search
+
+    items = spark.createDataFrame([(1, "The fee and the fees", None), (2, "nothing here", "Fee table"), (3, None, "fee"), (4, "of the", ""), (5, "fee", "fee")], "item_id int, text string, header string")
+    queries = spark.createDataFrame([(1, "what is the fee"), (2, "the of"), (3, None), (4, "table HERE")], "query_id int, text string")
+
+    def got(**k):
+        return [(r["query_id"], r["item_id"], round(r["score"], 6), r["rank"]) for r in search.lexical_topk(queries, items, **k).orderBy("query_id", "rank").collect()]
+
+    assert got() == [(1, 1, 0.1, 1), (1, 5, 0.1, 2), (1, 2, 0.0, 3), (4, 2, 0.0, 1)]
+    assert got(stemmed=True, k=2)[:2] == [(1, 1, 0.2, 1), (1, 5, 0.1, 2)]
+    assert [(r["query_id"], r["item_id"]) for r in search.bm25_topk(queries.where("query_id = 1"), items).orderBy("rank").collect()] == [(1, 5), (1, 1)]
+
+
+def test_dense_search_takes_odd_vectors(spark):
+    from quire.operators import search
+
+    items = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0, None]), ("e", [float("nan"), 1.0]), ("f", [1.0, 0.0, 0.0]), ("g", [2.0, 0.0]), ("h", [-1.0, 0.1])], "item_id string, vec array<double>")
+    queries = spark.createDataFrame([(1, [3.0, 0.0]), (2, None), (3, [0.0, 0.0])], "query_id long, qvec array<double>")
+    got = [(r["query_id"], r["item_id"], r["rank"]) for r in search.dense_topk(queries, items).orderBy("rank").collect()]
+    assert got == [(1, "a", 1), (1, "g", 2), (1, "h", 3)]
+    assert search.dense_topk(queries, items, 1).count() == 1 and search.dense_topk(queries.where("false"), items).count() == 0
