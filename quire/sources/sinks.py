@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.relational import pending
-
 
 def write_build(df: DataFrame, path: str, build_id: str, fmt: str = "parquet") -> None:
     """One build beside the earlier ones, under ``build_id=``."""
@@ -14,10 +12,11 @@ def write_build(df: DataFrame, path: str, build_id: str, fmt: str = "parquet") -
 
 
 def append_absent(df: DataFrame, existing: DataFrame | None, path: str, keys: list[str]) -> None:
-    """Append the rows whose key ``existing`` lacks, once per key."""
+    """Append the rows whose key ``existing`` lacks, once per key.  Null is a key like any other."""
     fresh = df.dropDuplicates(keys)
     if existing is not None:
-        fresh = fresh.join(pending(fresh, existing, keys), keys)
+        known = existing.select(*[F.col(k).alias(f"_known_{k}") for k in keys]).distinct()
+        fresh = fresh.join(known, [fresh[k].eqNullSafe(known[f"_known_{k}"]) for k in keys], "left_anti")
     fresh.write.mode("append").parquet(path)
 
 

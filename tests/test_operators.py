@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire import models, streaming
@@ -129,6 +130,10 @@ def test_incremental_writes(spark, tmp_path):
     sinks.append_absent(rows, None, path, ["k"])
     sinks.append_absent(rows.union(spark.createDataFrame([(3, "c")], "k int, v string")), spark.read.parquet(path), path, ["k"])
     assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    more = spark.createDataFrame([(None, "n"), (None, "m"), (1, "x")], "k int, v string")
+    for _ in range(2):  # a null key is written once, and found again
+        sinks.append_absent(more, spark.read.parquet(path), path, ["k"])
+    assert spark.read.parquet(path).where("k is null").count() == 1 and spark.read.parquet(path).count() == 4
     sinks.write_build(rows, str(tmp_path / "b"), "one")
     assert spark.read.parquet(str(tmp_path / "b")).where("build_id = 'one'").count() == 3
     assert relational.pending(rows, spark.createDataFrame([(1,)], "k int"), ["k"]).count() == 1
@@ -144,6 +149,12 @@ def test_models(spark):
         raise RuntimeError("down")
 
     assert models.apply_batches(rows, "text", "summary", "string", broken, tries=2, wait=0.0).where("summary is null").count() == 25
+    failed = spark.sparkContext.accumulator(0)
+    models.apply_batches(rows, "text", "summary", "string", broken, tries=1, failures=failed).count()
+    assert failed.value == 25
+    for fault in (lambda texts: texts[1:], lambda texts: texts + 1):
+        with pytest.raises(Exception, match="answers to|TypeError"):
+            models.apply_batches(rows, "text", "summary", "string", fault, wait=0.0).count()
 
 
 def test_streaming(spark, sf_dir, tmp_path):
