@@ -15,12 +15,14 @@ passage in a third of all documents costs one entry per batch.
 Resolution.  In a shard, occurrences of one segment (equal anchor and content
 hashes, 128 bits together) after the first are repeats as a whole.  Only
 anchors with several distinct segments need their bytes: these are fetched and
-each such shard's text gets a suffix array by induced sorting.  Neighbours in
-it that share ``length`` bytes form classes of equal windows, of which all but
-the earliest are repeats.  Should an anchor have over ``HOT`` distinct segments
-(a passage after which every document goes on differently), its segments are
-dealt out again as single windows by a hash of the whole window, so that no
-shard grows with the corpus; the same suffix arrays resolve those.
+each such shard's text gets a suffix array by induced sorting and its permuted
+common prefixes.  Neighbours that share ``length`` bytes form classes of equal
+windows, of which all but the earliest are repeats.  Should an anchor have over
+``HOT`` distinct segments (a passage after which every document goes on
+differently), its segments are dealt out again as single windows by a hash of
+the whole window, of which every task sends the earliest it has met alone, so
+that no shard grows with the corpus; the same suffix arrays resolve those.
+Both ways give every repeat; ``HOT`` bounds a shard's memory.
 
 Null text is empty.  Documents rank by (doc_id, hash of the text), null doc_id
 last; rows repeated with id and text are one document and get the same result
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, document_key, shuffle_partitions
-from .suffixarray import repeats_predecessor, suffix_array
+from .suffixarray import common_prefixes, suffix_array
 
 LENGTH, GRAM, HOT = 100, 32, 16_384
 #: Window starts handled at once, bytes under one suffix array, packs a partition gets.
@@ -209,35 +211,57 @@ def _resolve(hot: int):
     return rows
 
 
-_FETCHED = "anchor long, bytes binary, _d long, _t long, start long"
+_FETCHED = "anchor long, bytes binary, _d long, _t long, start long, n long"
 
 
-def _fetch(length: int):
-    """Documents with lists of needed segments to the segments' bytes."""
+def _fetch(length: int, known: int = 200_000):
+    """Documents with lists of needed segments to the segments' bytes.  Of equal
+    single windows a task sends the earliest it has met; the others are repeats
+    (rows without bytes).  Up to ``known`` windows are held to tell them."""
 
     def rows(batches):
+        first: dict[bytes, tuple] = {}
+        repeats = []
+
+        def send():
+            out = [(xxhash.xxh3_64_intdigest(w, 1) - (1 << 63), w, *place, 1) for w, place in first.items()]
+            again = [np.array(c, np.int64) for c in zip(*repeats)] if repeats else [np.empty(0, np.int64)] * 3
+            joined = zip(*_joined(*again, np.ones(len(again[0]), np.int64)))
+            out += [(int(start), None, int(d), int(t), int(start), int(n)) for d, t, start, n in joined]
+            first.clear()
+            repeats.clear()
+            return _fetched(out)
+
         for b in batches:
-            out, size = [[], [], [], [], []], 0
+            out, size = [], 0
             for d, t, text, need in zip(b.column("_d").to_pylist(), b.column("_t").to_pylist(), b.column("text"), b.column("need").to_pylist()):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 for s in need:
-                    step = s["n"] if s["kind"] == NEEDED else 1
-                    for start in range(s["start"], s["start"] + s["n"], step):
-                        piece = data[start : start + step + length - 1]
-                        anchor = s["anchor"] if s["kind"] == NEEDED else xxhash.xxh3_64_intdigest(piece, 1) - (1 << 63)
-                        for column, value in zip(out, (anchor, piece, d, t, start)):
-                            column.append(value)
-                        size += len(piece)
+                    start, n = s["start"], s["n"]
+                    if s["kind"] == NEEDED:
+                        out.append((s["anchor"], data[start : start + n + length - 1], d, t, start, n))
+                        size += n + length
+                        continue
+                    for at in range(start, start + n):
+                        w, place = data[at : at + length], (d, t, at)
+                        held = first.setdefault(w, place)
+                        if held != place:  # the same place twice is one row repeated
+                            repeats.append(max(held, place))
+                            first[w] = min(held, place)
                 if size > 8 << 20:
                     yield _fetched(out)
-                    out, size = [[], [], [], [], []], 0
+                    out, size = [], 0
+                if len(first) >= known or len(repeats) >= 4 * known:
+                    yield send()
             yield _fetched(out)
+        yield send()
 
     return rows
 
 
-def _fetched(out):
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 1 else pa.int64()) for i, c in enumerate(out)], names=["anchor", "bytes", "_d", "_t", "start"])
+def _fetched(rows):
+    columns = zip(*rows) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 1 else pa.int64()) for i, c in enumerate(columns)], names=["anchor", "bytes", "_d", "_t", "start", "n"])
 
 
 def repeated_windows(pieces: list[bytes], d: np.ndarray, t: np.ndarray, start: np.ndarray, length: int = LENGTH):
@@ -257,10 +281,11 @@ def repeated_windows(pieces: list[bytes], d: np.ndarray, t: np.ndarray, start: n
     windows = sizes - length + 1
     place = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
     piece = np.repeat(np.arange(len(pieces)), windows)
-    sa = suffix_array(text.astype(np.int64), 258, length)
+    sa = suffix_array(text.astype(np.int64), 258)
     number = np.full(len(text), -1, np.int64)
     number[place] = np.arange(len(place))
-    shared = repeats_predecessor(data, sa, place, length)
+    # A window ends within its piece, so what it shares to the full holds no separator.
+    shared = common_prefixes(data, sa, place, length) >= length
     ordered = number[sa]
     ordered = ordered[ordered >= 0]
     opens = ~shared[ordered]
@@ -284,6 +309,10 @@ def _sorted_shards(length: int):
     def rows(batches):
         held, size, last = [], 0, None
         for b in batches:
+            settled = b.filter(b.column("bytes").is_null())
+            if settled.num_rows:
+                yield _resolved(*(settled.column(c).to_numpy() for c in ("_d", "_t", "start", "n", "anchor")), np.full(settled.num_rows, REPEAT, np.int32))
+            b = b.filter(b.column("bytes").is_valid())
             for anchor, piece, d, t, start in zip(*(b.column(c).to_pylist() for c in ("anchor", "bytes", "_d", "_t", "start"))):
                 if anchor != last and size >= ARRAY_BYTES:
                     yield solve(held)

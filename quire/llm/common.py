@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NULL_ID = 2**63 - 1
-
+from quire.lineage import bounded, cut, ensure_checkpoint_dir  # noqa: F401
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) make a folder of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+NULL_ID = 2**63 - 1
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

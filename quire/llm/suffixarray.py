@@ -1,4 +1,10 @@
-"""Suffix arrays by induced sorting, and common prefixes in text order.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
+
+Suffixes are classified as smaller or larger than their right neighbours; the
+substrings between leftmost smaller ones are sorted by inducing, named, and the
+string of names is sorted by the same procedure, at every level.  Names beyond
+``WALKED`` are written as two digits each, which keeps the order of suffixes
+and the alphabet small.
 
 The walk over buckets is vectorised: what a stretch of a bucket induces is
 appended to the other buckets in one go, so a pass costs a few array
@@ -9,8 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are walked bucket by bucket when recursing; larger
-#: ones (nearly distinct names) are ranked by doubling instead.
+#: Largest alphabet that is walked bucket by bucket; more names are split in two digits.
 WALKED = 1024
 
 
@@ -88,29 +93,20 @@ def _induce(s: np.ndarray, size: int, small: np.ndarray, lms: np.ndarray) -> np.
     return sa
 
 
-def _by_doubling(s: np.ndarray, rounds: int | None) -> np.ndarray:
-    """Suffix order by prefix doubling; after ``rounds`` rounds suffixes that
-    agree on ``2**rounds`` characters stay in text order."""
-    n, rank, width, done = len(s), s.astype(np.int64), 1, 0
-    order = np.argsort(rank, kind="stable")
-    while rounds is None or done < rounds:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] + 1
-        key = rank * (int(rank.max()) + 2) + second
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
-        rank, width, done = new, width * 2, done + 1
-        if rank[order[-1]] == n - 1 or width >= n:
-            break
-    return order
+def _sort_names(names: np.ndarray, kinds: int, walked: int) -> np.ndarray:
+    """Order of the suffixes of a string of names, whose last is 0 and unique."""
+    if kinds <= walked:
+        return suffix_array(names, kinds, walked)
+    base = int(np.ceil(np.sqrt(kinds)))
+    digits = np.zeros(2 * len(names) - 1, np.int64)  # the last name is the last digit
+    digits[0:-1:2], digits[1::2] = names[:-1] // base + 1, names[:-1] % base + 1
+    order = suffix_array(digits, base + 2, max(walked, base + 2))
+    return order[order % 2 == 0] // 2
 
 
-def suffix_array(s: np.ndarray, size: int, depth: int | None = None) -> np.ndarray:
+def suffix_array(s: np.ndarray, size: int, walked: int = WALKED) -> np.ndarray:
     """Order of all suffixes of ``s``: integers in ``[0, size)`` whose last is
-    a 0 that occurs nowhere before.  With ``depth``, suffixes that agree on
-    so many characters may come in any order among themselves."""
+    a 0 that occurs nowhere before."""
     n = len(s)
     if n <= 2:
         return np.arange(n)[::-1].copy()
@@ -141,29 +137,32 @@ def suffix_array(s: np.ndarray, size: int, depth: int | None = None) -> np.ndarr
         if kinds < m:
             number = np.zeros(n, np.int64)
             number[ordered] = names
-            reduced = number[lms]
-            if kinds <= WALKED:
-                order = suffix_array(reduced, kinds, depth)
-            else:  # every name spans two characters at least
-                order = _by_doubling(reduced, None if depth is None else max(1, int(depth // 2).bit_length()))
-            ordered = lms[order]
+            ordered = lms[_sort_names(number[lms], kinds, walked)]
         sa = _induce(s, size, small, ordered)
     return sa
 
 
-def repeats_predecessor(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each of ``starts`` (in text order): does its suffix share ``length``
-    bytes with the suffix before it in ``sa``?  The permuted common prefixes,
-    capped at ``length`` and compared a machine word at a time."""
-    phi = np.empty(len(sa), np.int64)
-    phi[sa[1:]] = sa[:-1]
-    phi[sa[0]] = -1
-    before = phi[starts]
-    live = np.nonzero(before >= 0)[0]
-    live = live[before[live] + length <= len(data)]
-    words = np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), 0, (1,)) if len(data) >= 8 else None
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length > 8 else [])]:
-        live = live[words[starts[live] + at] == words[before[live] + at]]
-    out = np.zeros(len(starts), bool)
-    out[live] = True
-    return out
+def common_prefixes(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """Permuted common prefixes: for each of ``starts``, in text order, how many
+    bytes of ``data`` its suffix shares with the suffix before it in ``sa``,
+    counted up to ``most``.  Compared a machine word at a time."""
+    before = np.full(len(sa), -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    before = before[starts]
+    out = np.zeros(len(starts), np.int64)
+    padded = np.concatenate((data, np.zeros(most + 8, np.uint8)))
+    words = np.ndarray((len(padded) - 7,), "<u8", padded.tobytes(), 0, (1,))
+    room = len(data) - np.maximum(starts, before)
+    live = np.nonzero((before >= 0) & (room > 0))[0]
+    for at in range(0, most, 8):
+        differ = words[starts[live] + at] ^ words[before[live] + at]
+        apart = differ != 0
+        # The lowest bit that differs lies in the first byte that differs.
+        low = differ[apart]
+        bit = np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int64)
+        out[live[apart]] = at + bit // 8
+        live = live[~apart]
+        if not len(live):
+            break
+    out[live] = most
+    return np.minimum(np.minimum(out, np.maximum(room, 0)), most)

@@ -7,7 +7,7 @@ import numpy as np
 
 import odd
 from quire.llm import bytededup, queries
-from quire.llm.suffixarray import suffix_array
+from quire.llm.suffixarray import common_prefixes, suffix_array
 
 
 def plain(docs, length):
@@ -31,10 +31,30 @@ def result(rows):
 
 def test_suffix_arrays():
     rng = random.Random(1)
-    for _ in range(150):
+    for _ in range(300):
         n, size = rng.randint(0, 120), rng.choice((1, 2, 3, 26))
         s = np.array([rng.randint(1, size) for _ in range(n)] + [0])
-        assert suffix_array(s, size + 1).tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist())
+        for walked in (1024, 6, 2):  # names in one digit, and in two at every level
+            assert suffix_array(s, size + 1, walked).tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist())
+
+
+def test_suffix_array_of_a_long_text():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(9000)]
+    text = " ".join(rng.choice(words) for _ in range(20_000)).encode()
+    text = text + text[5000:30_000] + b"ab" * 3000 + text[:9000]
+    sa = suffix_array(np.concatenate((np.frombuffer(text, np.uint8).astype(np.int64) + 1, [0])), 257)
+    assert sorted(sa.tolist()) == list(range(len(text) + 1))
+    order = sa[1:].tolist()
+    assert all(text[i : i + 40_000] < text[j : j + 40_000] for i, j in zip(order, order[1:]))
+    data = np.frombuffer(text, np.uint8)
+    starts = np.array(sorted(rng.sample(range(len(text)), 3000)))
+    got = common_prefixes(data, sa[1:], starts, 100)
+    before = dict(zip(order[1:], order))
+    for i, n in zip(starts.tolist(), got.tolist()):
+        j = before.get(i)
+        want = 0 if j is None else next((k for k in range(100) if text[i + k : i + k + 1] != text[j + k : j + k + 1] or i + k >= len(text)), 100)
+        assert n == want
 
 
 def test_against_brute_force(spark):
@@ -51,6 +71,22 @@ def test_against_brute_force(spark):
         assert result(bytededup.dedup_bytes(frame, 20, 8, hot).collect()) == want
 
 
+def test_one_passage_with_many_continuations(spark):
+    """A passage in 20,000 documents that all go on differently: no task gets over its share."""
+    n, passage = 20_000, "A passage that a great many documents share word for word, and after which each of them goes on in its own way: "
+    docs = spark.range(0, n, 1, 40).selectExpr("id as doc_id", f"concat('{passage}', sha2(cast(id as string), 256), ' and ', sha2(cast(-id - 1 as string), 256)) as text")
+    want = plain([(r["doc_id"], r["text"].encode()) for r in docs.collect()], 100)
+    assert result(bytededup.dedup_bytes(docs, hot=1000).collect()) == want and want[n - 1][1] >= len(passage)
+    # Windows that every document has leave a task once.
+    need = [(d, 0, passage + "x" * 40, [{"start": 0, "n": 20, "anchor": 1, "kind": bytededup.SPREAD}]) for d in range(500)]
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("kind", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in need]), pa.array([r[1] for r in need]), pa.array([r[2] for r in need]), pa.array([r[3] for r in need], kind)], names=["_d", "_t", "text", "need"])
+    sent = [r for b in bytededup._fetch(100)([batch]) for r in b.to_pylist()]
+    assert sum(r["bytes"] is not None for r in sent) == 20 and sum(r["n"] for r in sent if r["bytes"] is None) == 20 * 499
+
+
 def test_query_against_brute_force(spark, sf_dir):
     docs = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert result(queries.op7_suffix_array(spark, sf_dir).collect()) == plain(docs, 100)
