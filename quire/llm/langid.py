@@ -102,13 +102,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & F.col("text").isNotNull() & (remainder(4) != 2))
         .select("doc_id", "label")
     )
-    chosen = (
-        least_by_hash(known, per_language)
-        .orderBy("nth", "label")
-        .limit(sample)
-        .groupBy("doc_id")
-        .agg(F.min("label").alias("label"))
-    )
+    n = known.select("label").distinct().count()
+    chosen = least_by_hash(known, min(per_language, max(1, sample // max(1, n)))).groupBy("doc_id").agg(F.min("label").alias("label"))
     rows = texts_of(docs, chosen).mapInArrow(_count_rows, "doc_id long, label string, x binary").toArrow()
     if not rows.num_rows:
         return None

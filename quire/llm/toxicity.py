@@ -2,9 +2,9 @@
 
 Features are hashed words, adjacent word pairs and skip pairs (one word left
 out), each counted once per text.  Training runs online over a bounded sample
-of labelled rows with per-coordinate learning rates; the L1 term keeps most
-weights at zero, and the model that tasks receive is its non-zero weights
-(a few kilobytes, never more than ``2**bits`` entries).
+of labelled rows with per-coordinate learning rates, on an executor; the L1 term
+keeps most weights at zero, and the model that tasks receive is its non-zero
+weights (a few kilobytes, never more than ``2**bits`` entries).
 
 Null and empty texts have no feature and get the intercept's score.  Null
 labels and null doc_ids are not learned from; of a doc_id labelled twice the
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import cut, packed
 from .training import least_by_hash, remainder, texts_of
 
 BITS, PASSES = 20, 4
@@ -54,47 +54,81 @@ def _featurise(batches):
         )
 
 
-def fit_ftrl(rows, labels, bits: int = BITS, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float]:
-    """(indices, weights, intercept) from lists of index arrays and 0/1 labels."""
-    size = 1 << bits
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
+class Ftrl:
+    """FTRL-proximal state: gradient sums ``z`` and squared gradient sums ``n``
+    of ``2**bits`` weights and, last, the intercept."""
+
+    def __init__(self, bits: int = BITS):
+        self.size = 1 << bits
+        self.z, self.n = np.zeros(self.size + 1), np.zeros(self.size + 1)
+
+    def weights(self, i: np.ndarray) -> np.ndarray:
+        z = self.z[i]
+        w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(self.n[i])) / ALPHA + L2)
+        return np.where(np.abs(z) <= L1, 0.0, w)
 
-    def weights(i):
-        zi = z[i]
-        w = -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
-        return np.where(np.abs(zi) <= L1, 0.0, w)
+    def learn(self, x: np.ndarray, y: int) -> None:
+        """One row: its distinct feature indices and label."""
+        x = np.append(np.asarray(x, np.int32), np.int32(self.size))
+        w = self.weights(x)
+        g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+        root = np.sqrt(self.n[x])
+        self.n[x] += g * g
+        self.z[x] += g - (np.sqrt(self.n[x]) - root) / ALPHA * w
 
-    rows = [np.append(np.asarray(x, np.int32), np.int32(size)) for x in rows]
+    def model(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """(indices, weights, intercept), zero weights left out."""
+        w = self.weights(np.arange(self.size + 1))
+        kept = np.nonzero(w[: self.size])[0]
+        return kept.astype(np.int32), w[kept], float(w[self.size])
+
+
+def fit_ftrl(rows, labels, bits: int = BITS, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float]:
+    """Model from lists of index arrays and 0/1 labels."""
+    state = Ftrl(bits)
     for _ in range(passes):
         for x, y in zip(rows, labels):
-            w = weights(x)
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-            root = np.sqrt(n[x])
-            n[x] += g * g
-            z[x] += g - (np.sqrt(n[x]) - root) / ALPHA * w
-    w = weights(np.arange(size + 1))
-    kept = np.nonzero(w[:size])[0]
-    return kept.astype(np.int32), w[kept], float(w[size])
+            state.learn(x, y)
+    return state.model()
+
+
+def _pass(z: np.ndarray, n: np.ndarray):
+    """One pass over the rows of the (only) partition, from state to state."""
+
+    def rows(batches):
+        state = Ftrl()
+        state.z, state.n = z.copy(), n.copy()
+        for b in batches:
+            lists, y = b.column("x"), b.column("label").to_numpy()
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i in range(b.num_rows):
+                state.learn(values[offsets[i] : offsets[i + 1]], y[i])
+        touched = np.nonzero((state.n != 0) | (state.z != 0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(touched), pa.array(state.z[touched]), pa.array(state.n[touched])], names=["i", "z", "n"])
+
+    return rows
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE):
     """Model from at most ``sample`` rows of each label outside the held-out
-    fold (those of least id hash)."""
+    fold (those of least id hash).  An executor task streams the sample once a
+    pass; state of fixed size (``2**BITS`` coordinates at most) comes back."""
     known = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder(3) != 1))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
-    chosen = least_by_hash(known, max(sample)).where(F.col("nth") <= F.when(F.col("label") == 1, sample[1]).otherwise(sample[0])).select("doc_id", "label")
-    rows = texts_of(docs, chosen).mapInArrow(_featurise, "doc_id long, label int, x array<int>").toArrow().combine_chunks()
-    if not rows.num_rows:
-        return np.empty(0, np.int32), np.empty(0), 0.0
-    lists = rows.column("x").combine_chunks()
-    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-    ids, y = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy()
-    order = np.argsort(ids * np.int64(-7046029254386353131), kind="stable")
-    return fit_ftrl([values[offsets[i] : offsets[i + 1]] for i in order], y[order])
+    chosen = least_by_hash(known, dict(enumerate(sample)))
+    featured = texts_of(docs, chosen).mapInArrow(_featurise, "doc_id long, label int, x array<int>")
+    # An order that has nothing to do with time or label.
+    rows = cut(featured.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id"))
+    state = Ftrl()
+    for _ in range(PASSES):
+        told = rows.mapInArrow(_pass(state.z, state.n), "i long, z double, n double").toArrow()
+        i = told.column("i").to_numpy()
+        state.z[i], state.n[i] = told.column("z").to_numpy(), told.column("n").to_numpy()
+    return state.model()
 
 
 def _scores(model):

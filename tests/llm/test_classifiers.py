@@ -51,7 +51,14 @@ def test_language_odd_rows(spark):
 def test_sample_is_bounded_and_repeatable(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
     got = least_by_hash(rows, 10).collect()
-    assert len(got) == 20
+    assert len(got) == 20 and sorted(r["label"] for r in got) == [0] * 10 + [1] * 10
+    uneven = rows.where("label = 0 or doc_id < 8")
+    assert sorted(r["label"] for r in least_by_hash(uneven, {0: 25, 1: 10}).collect()) == [0] * 25 + [1] * 4
+    assert least_by_hash(rows, 10_000).count() == 3000 and least_by_hash(rows.where("false"), 5).count() == 0
+    assert {r["label"] for r in least_by_hash(uneven, 5, labels=1).collect()} == {0}
+    # What is taken are the rows of least hash.
+    order = [r["doc_id"] for r in rows.where("label = 1").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 40)).collect()]
+    assert {r["doc_id"] for r in got if r["label"] == 1} == set(order[:10])
     assert {r["doc_id"] for r in got} == {r["doc_id"] for r in least_by_hash(rows.repartition(7), 10).collect()}
 
 
@@ -86,6 +93,67 @@ def test_toxicity_learns_and_stays_sparse():
     assert len(index) < 500
 
 
+def test_toxicity_against_a_scalar_version():
+    """The published update, one coordinate at a time."""
+    import math
+
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(80)]
+    y = [int(3 in x) for x in rows]
+    z, n, size = {}, {}, 1 << 6
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for x, label in zip(rows, y):
+            on = [*x.tolist(), size]
+            w = {i: weight(i) for i in on}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in on:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    index, found, intercept = toxicity.fit_ftrl(rows, y, 6, 3)
+    assert set(index.tolist()) == {i for i in range(size) if weight(i)} and len(index)
+    assert np.allclose(found, [weight(i) for i in index.tolist()])
+    assert abs(intercept - weight(size)) < 1e-9
+
+
+def test_language_against_a_plain_nearest_centroid(spark):
+    """Every prediction against cosines worked out one by one, from counted n-grams."""
+    docs = spark.read.parquet(f"{TRAINED}/documents.parquet").limit(120)
+    idf, centres, names = langid.train(docs)
+    letters = langid.letter_table()
+    got = {r["doc_id"]: r for r in langid.predict(docs, (idf, centres, names)).collect()}
+    for r in docs.collect():
+        counts = langid.ngram_counts(r["text"], letters)
+        if counts is None:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        v = [float(np.log1p(c) * i) for c, i in zip(counts, idf)]
+        norm = sum(x * x for x in v) ** 0.5
+        cosines = [sum(a * b for a, b in zip(v, c.tolist()) if a) / norm for c in centres]
+        best = max(cosines)
+        assert abs(got[r["doc_id"]]["score"] - min(1, max(0, best))) < 1e-9
+        assert got[r["doc_id"]]["lang_pred"] in {n for n, c in zip(names, cosines) if c > best - 1e-12}
+
+
+def test_language_rejects_the_distant(spark):
+    """A script never learned is farther from all centroids than any held-out text."""
+    docs = spark.read.parquet(f"{TRAINED}/documents.parquet")
+    model = langid.train(docs)
+    far = spark.createDataFrame([(i, t) for i, t in enumerate(("Съешь же ещё этих мягких французских булок", "いろはにほへとちりぬるを", "zzqx qxzz xqzq zqqx"))], "doc_id long, text string")
+    near = [r["score"] for r in langid.predict(docs.where("length(text) > 200"), model).collect()]
+    distant = [r["score"] for r in langid.predict(far, model).collect()]
+    cut = (max(distant) + np.quantile(near, 0.02)) / 2
+    assert max(distant) < cut
+    assert {r["lang_pred"] for r in langid.predict(far, model, cut).collect()} == {"und"}
+    assert np.mean([r["lang_pred"] != "und" for r in langid.predict(docs.where("length(text) > 200"), model, cut).collect()]) > 0.97
+
+
 def test_toxicity_features():
     f = toxicity.features
     assert len(f(None)) == len(f("")) == len(f("12 ..")) == 0
