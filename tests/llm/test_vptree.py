@@ -76,3 +76,17 @@ def test_odd_rows(spark):
 def test_sql(spark, sf_dir):
     got, want = queries.op6_vantage_point(spark, sf_dir).toPandas(), connect(sf_dir).sql(queries.oracle_sql()["op6_vantage_point"]).df()
     same(got, want)
+
+
+def test_cells_are_pruned(spark, monkeypatch):
+    """Clustered vectors: the second round reaches few of the other cells, and misses nothing."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 8)) * 6
+    x = centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 8)) * 0.05
+    table = [(i, [float(np.float32(v)) for v in x[i]], 0) for i in range(6000)]
+    asked, search = [], vptree._search
+    monkeypatch.setattr(vptree, "_search", lambda points, a, k, relax: (asked.append((a.count(), points.select("shard").distinct().count())), search(points, a, k, relax))[1])
+    got = result(vptree.nearest(spark.createDataFrame(table, KIND), 5, 50, 1.0, 100))
+    assert got == plain(table, 5, 50)
+    shards = asked[0][1]
+    assert shards > 60 and sum(n for n, _ in asked) < 0.35 * 120 * shards
