@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, document_key, shuffle_partitions
+from .common import cut, document_key, shuffle_partitions, small
 from .suffixarray import common_prefixes, suffix_array
 
 LENGTH, GRAM, HOT = 100, 32, 16_384
@@ -134,7 +134,7 @@ def _packs(length: int, gram: int, shards: int):
 
     def rows(batches):
         held, count = [], 0
-        for b in batches:
+        for b in small(batches):
             seen = set()
             for d, t, text in zip(b.column("_d").to_pylist(), b.column("_t").to_pylist(), b.column("text")):
                 if (d, t) in seen:
@@ -330,7 +330,7 @@ def _cut_texts(length: int):
     """Documents with their repeats to sizes, spans and the kept bytes' digest."""
 
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             sizes, removed, spans, digests, offsets = [], [], [], [], []
             for text, runs in zip(b.column("text"), b.column("runs").to_pylist()):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""

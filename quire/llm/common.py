@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,20 @@ def packed(docs: DataFrame, *more: Column | str) -> DataFrame:
     return docs.select(F.struct(*map(column, docs.columns)).alias("_row"), *more)
 
 
+def small(batches, size: int = 4 << 20):
+    """Slices of Arrow batches with about ``size`` bytes of text (column ``text``,
+    or that of ``_row``) or one row each, so that what Python makes of a batch
+    stays small whatever a batch holds."""
+    for b in batches:
+        text = b.column("text") if "text" in b.schema.names else b.column("_row").field("text")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of ``edges`` (u long, v long) by alternating large and small
     stars: returns ``(node, label)`` with label the least node of the

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, document_key, packed, shuffle_partitions
+from .common import cut, document_key, packed, shuffle_partitions, small
 
 SIMILARITY, RECALL, SHARE, SAMPLED, WALKS = 0.8, 0.998, 0.6, 3, 8
 #: Hashes told apart by the window test, words handled at once.
@@ -249,7 +249,7 @@ def _scan(lengths, table, similarity):
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["uid", "row", "_d", "_t", "doc_id", "first", "stretch", "keys"])
 
-        for b in batches:
+        for b in small(batches):
             for d, t, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("_d", "_t", "doc_id", "text"))):
                 row += 1
                 if found := words(text):

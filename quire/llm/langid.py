@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
 from .training import least_by_hash, remainder, texts_of
 
 DIMENSIONS, PER_LANGUAGE, SAMPLE, CENTROIDS = 4096, 400, 4_000, 4
@@ -88,7 +89,7 @@ def fit(counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS):
 
 def _count_rows(batches):
     letters = letter_table()
-    for b in batches:
+    for b in small(batches):
         for d, lang, text in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), b.column("text").to_pylist()):
             if (c := ngram_counts(text, letters)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([lang]), pa.array([c.astype(np.int32).tobytes()])], names=["doc_id", "label", "x"])
@@ -120,7 +121,7 @@ def predict(docs: DataFrame, model, min_cosine: float = 0.0) -> DataFrame:
         if model is not None:
             idf, centres, names = model
             table = np.ascontiguousarray(centres.T)
-        for b in batches:
+        for b in small(batches):
             lang, score = [], []
             for text in b.column("text").to_pylist():
                 c = None if model is None else ngram_counts(text, letters)

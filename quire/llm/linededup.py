@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut as materialise
-from .common import document_key, packed
+from .common import document_key, packed, small
 
 SENTENCE_WORDS = 10
 LINE_SEED = 1
@@ -57,7 +57,7 @@ def _unit_rows(sentences: bool):
     digest = xxhash.xxh3_128_digest
 
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             ids, hashes, counts, numbers, whole, digests = b.column("_d").to_numpy(), b.column("_t").to_numpy(), [], [], [], []
             for text in b.column("text").to_pylist():
                 before, i = len(numbers), 0
@@ -143,7 +143,7 @@ def cut(text: str, repeated: set[int], min_words: int = SENTENCE_WORDS, whole: s
 
 def _cut_rows(sentence_words: int | None):
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             texts, spans = [], []
             for text, units, lines in zip(b.column("_row").field("text").to_pylist(), b.column("units").to_pylist(), b.column("lines").to_pylist()):
                 kept, gone = cut(text, set(units) if sentence_words is not None else set(), sentence_words or 0, set(lines)) if units else (text, [])

@@ -39,12 +39,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import packed
+from .common import packed, small
 
 MODEL = os.environ.get("QUIRE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 _MARK = MARK.encode()
-CACHED_WORDS = 400_000  # encodings kept by a task; beyond it starts afresh
+CACHED_WORDS = 200_000  # encodings kept by a task; beyond it starts afresh
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, ZIPF_SHIFT = 1, 2.7
 
@@ -425,7 +425,7 @@ def _encoded(codec: Codec, decode: bool):
     """Arrow batches of rows to batches with their tokens and, if asked for, decoded texts."""
 
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             texts = b.column("_row").field("text").to_pylist()
             for x, y in _blocks(texts):
                 ids, offsets = codec.encode_batch(texts[x:y])
@@ -479,7 +479,7 @@ def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     def rows(batches):
         is_byte = np.zeros(len(codec.model["pieces"]), bool)
         is_byte[[i for i, k in enumerate(codec.model["kinds"]) if k == BYTE]] = True
-        for b in batches:
+        for b in small(batches):
             texts = b.column("text").to_pylist()
             for x, y in _blocks(texts):
                 ids, offsets = codec.encode_batch(texts[x:y])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, document_key, packed
+from .common import connected_components, cut, document_key, packed, small
 
 SHINGLE, SEED, DISTANCE, BUCKET = 3, 42, 2, 32
 WIDTHS = (22, 21, 21)
@@ -70,14 +70,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches):
-    for b in batches:
+    for b in small(batches):
         values = np.fromiter((fingerprint(t) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
 
 def _keyed(identify):
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             values = pa.array([identify(t) for t in b.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("_d"), b.column("_t"), values], names=["_d", "_t", "fp"])
 

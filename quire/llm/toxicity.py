@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed
+from .common import cut, packed, small
 from .training import least_by_hash, remainder, texts_of
 
 BITS, PASSES = 20, 4
@@ -47,7 +47,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
 
 
 def _featurise(batches):
-    for b in batches:
+    for b in small(batches):
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("label"), pa.array([np.unique(features(t)).astype(np.int32) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))],
             names=["doc_id", "label", "x"],
@@ -151,7 +151,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
 
     def rows(batches):
         score_of = _scores(model)
-        for b in batches:
+        for b in small(batches):
             scores = pa.array([score_of(t) for t in b.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), scores], names=["doc_id", "score"])
 
@@ -169,7 +169,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAM
 
     def rows(batches):
         score_of = _scores(model)
-        for b in batches:
+        for b in small(batches):
             stay = [bool(score_of(t) < THRESHOLD) for t in b.column("_row").field("text").to_pylist()]
             yield b.filter(pa.array(stay, pa.bool_()))
 
