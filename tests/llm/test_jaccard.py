@@ -65,3 +65,21 @@ def test_odd_rows(spark, sf_dir):
         # the fox text with its copies; null and empty texts; five others
         assert kept.count() == 7
     assert corpus_pipeline._near_duplicates(spark, odd.empty(spark), sf_dir).count() == 0
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (1, 2, 10, 300, 90_000):
+        for share in (1.0, 0.9, 0.8, 0.5, 0.0):
+            a = rng.choice(1 << 40, n, replace=False).astype(np.uint64)
+            b = np.concatenate((a[: int(n * share)], rng.integers(1 << 41, 1 << 42, n - int(n * share)).astype(np.uint64)))
+            both, j = len(np.intersect1d(a, b)), None
+            j = both / (len(a) + len(b) - both)
+            rows.append((len(rows), 0, len(a), len(b), jaccard.sketch(a), jaccard.sketch(b), j))
+    cols = [pa.array(c, t) for c, t in zip(list(zip(*rows))[:6], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
+    kept = {u for b in jaccard._possible(0.8)([pa.RecordBatch.from_arrays(cols, names=["u", "v", "an", "bn", "a", "b"])]) for u in b.column("u").to_pylist()}
+    assert {r[0] for r in rows if r[6] >= 0.8} <= kept and not {r[0] for r in rows if r[6] == 0 and r[2] == 300} & kept
