@@ -707,3 +707,34 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the streaming aggregation."""
     e = table(spark, d, "events")
     return e.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# ----------------------------------------------------- functions by themselves
+
+
+@query(f"WITH e AS ({_E}) SELECT vec_id, CAST(len(v) AS INTEGER) AS width, round(list_sum(v), 4) AS total FROM e")
+def vector_literals(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as text literals and read back."""
+    e = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join("embedding", ","), F.lit("]")).alias("t"))
+    v = e.select("vec_id", V.parse_vector(F.col("t")).alias("v"))
+    return v.select("vec_id", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("SELECT doc_id, substr(text, CAST(doc_id % 50 + 1 AS BIGINT), 20) AS piece FROM documents")
+def text_spans(spark: SparkSession, d: str) -> DataFrame:
+    at = (F.col("doc_id") % 50).cast("int")
+    return table(spark, d, "documents").select("doc_id", X.span(F.col("text"), at, at + 20).alias("piece"))
+
+
+@query(f"SELECT t, count(*) AS n FROM (SELECT trim(regexp_replace({_HEADING_SQL}, '^[0-9]+[A-Z]?\\.\\s*', '')) AS t FROM lineitem) GROUP BY 1")
+def stripped_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.trim(X.strip_number(_heading())).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, 0 AS line_id, substr(text, 1, 1) AS pattern FROM documents WHERE doc_id % 3 = 0)
+SELECT t.doc_id, t.line_id, md5(CASE WHEN pattern IS NOT NULL AND contains(text, pattern) THEN '> ' || replace(text, pattern, '#') ELSE text END) AS text_md5 FROM t LEFT JOIN p USING (doc_id, line_id)""")
+def patched_lines(spark: SparkSession, d: str) -> DataFrame:
+    """First lines of every third document with their first character replaced throughout."""
+    docs = table(spark, d, "documents").where("doc_id % 3 = 0")
+    patches = docs.select("doc_id", F.lit(0).alias("line_id"), F.left("text", F.lit(1)).alias("pattern"), F.lit("#").alias("replacement"), F.lit("> ").alias("prepend"))
+    return lines.patch_lines(_doc_lines(spark, d), patches).select("doc_id", "line_id", F.md5("text").alias("text_md5"))
