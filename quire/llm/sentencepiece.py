@@ -45,6 +45,7 @@ MODEL = os.environ.get("QUIRE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model
 MARK = "▁"
 _MARK = MARK.encode()
 CACHED_WORDS = 200_000  # encodings kept by a task; beyond it starts afresh
+WORD_BYTES = 1 << 17  # of new words whose paths are sought at once (one word at least)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, ZIPF_SHIFT = 1, 2.7
 
@@ -347,8 +348,8 @@ class Codec:
                             new.append(w)
                         numbers[i] = number
             per_text.append(np.array(numbers, np.int64))
-        if new:
-            ids, ends = self.viterbi(new)
+        for a, b in _blocks(new, WORD_BYTES):
+            ids, ends = self.viterbi(new[a:b])
             self.ends = np.concatenate((self.ends, ends + len(self.flat)))
             self.flat = np.concatenate((self.flat, ids))
         use = np.concatenate(per_text) if per_text else np.empty(0, np.int64)
@@ -409,8 +410,8 @@ def load(spark, path: str = MODEL) -> Codec:
     return Codec(read_model(data))
 
 
-def _blocks(texts: list[str | None], size: int = 1 << 20):
-    """Ranges of texts of about ``size`` characters."""
+def _blocks(texts: list[str | bytes | None], size: int = 1 << 20):
+    """Ranges of texts of about ``size`` characters (of words: bytes)."""
     a, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t or "")

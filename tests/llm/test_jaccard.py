@@ -83,3 +83,37 @@ def test_sketches_never_rule_out_a_similar_pair():
     cols = [pa.array(c, t) for c, t in zip(list(zip(*rows))[:6], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
     kept = {u for b in jaccard._possible(0.8)([pa.RecordBatch.from_arrays(cols, names=["u", "v", "an", "bn", "a", "b"])]) for u in b.column("u").to_pylist()}
     assert {r[0] for r in rows if r[6] >= 0.8} <= kept and not {r[0] for r in rows if r[6] == 0 and r[2] == 300} & kept
+
+
+def test_listed_pairs_are_few_and_hold_every_similar_one(spark):
+    """Sets that share common shingles at the end of their order, and hardly any is similar to another."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    common = np.sort(rng.integers(1 << 40, 1 << 41, 60)).astype(np.uint64)
+    own = [rng.integers(0, 1 << 40, int(k)).astype(np.uint64) for k in rng.integers(9, 16, 120)]
+    own[1] = own[0][: len(own[0]) - 1]  # 0 and 1 are similar
+    sets = [np.concatenate((x, common)) for x in own]  # in their order: the rare ones first
+    rows = []
+    for i, s in enumerate(sets):
+        for place, key in enumerate(s[: int(jaccard.prefix_length(np.array([len(s)]), 0.8)[0])]):
+            rows.append((int(key), i, len(s), i, len(s) - place, *map(int, jaccard.parities(s))))
+    left = spark.createDataFrame(rows, "key long, fp long, size int, label long, rest int, p0 long, p1 long, p2 long, p3 long")
+    got = {(r["u"], r["v"]) for r in jaccard.listed(left, 0.8).collect()}
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j)]
+    both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in pairs}
+    similar = {p for p in pairs if both[p] >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - both[p])}
+    by_size = {p for p in pairs if min(len(sets[p[0]]), len(sets[p[1]])) >= 0.8 * max(len(sets[p[0]]), len(sets[p[1]]))}
+    assert (0, 1) in similar <= got
+    assert len(by_size) > 5000 and len(got) < 100
+
+
+def test_parities_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n in (1, 20, 400, 5000):
+        a = rng.choice(1 << 20, n, replace=False).astype(np.uint64)
+        b = rng.choice(a, max(1, n * 9 // 10), replace=False)
+        x = jaccard.parities(a) ^ jaccard.parities(b)
+        assert sum(int(v & 0xFFFFFFFFFFFFFFFF).bit_count() for v in x.tolist()) <= len(np.setxor1d(a, b))

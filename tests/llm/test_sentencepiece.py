@@ -152,3 +152,17 @@ def test_tables(spark, sf_dir):
     assert S.digest(odd.empty(spark)).count() == 0 and S.decode(S.encode(odd.empty(spark))).count() == 0
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert S.digest(docs).where("round_trip").count() == docs.where(f"coalesce(instr(text, '{S.MARK}'), 0) = 0").count()
+
+
+def test_paths_are_sought_for_bounded_bytes_at_once(codec, monkeypatch):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 12))) for _ in range(60_000))
+    sizes, whole = [], codec.viterbi
+    codec.forget()
+    want = whole(words := list(dict.fromkeys(codec.words(text))))
+    monkeypatch.setattr(codec, "viterbi", lambda new: sizes.append(sum(map(len, new))) or whole(new))
+    ids, offsets = codec.encode_batch([text, None, "x"])
+    codec.forget()
+    assert max(sizes) < 1 << 18 < sum(sizes)
+    cuts = dict(zip(words, zip([0, *want[1]], want[1])))
+    assert ids[: offsets[1]].tolist() == [i for w in codec.words(text) for i in want[0][cuts[w][0] : cuts[w][1]].tolist()]
