@@ -53,6 +53,13 @@ def small(batches, size: int = 4 << 20):
             at = to
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that never is broadcast: it grows with the
+    corpus, and adaptive execution would gather what falls under a threshold on
+    the driver, where it takes several times that as a hash table."""
+    return df.hint("merge")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of ``edges`` (u long, v long) by alternating large and small
     stars: returns ``(node, label)`` with label the least node of the
@@ -66,10 +73,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = both.join(shuffled(least), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        met = down.join(least, "u")
+        met = down.join(shuffled(least), "u")
         e = cut(
             met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v")))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, document_key, packed, small
+from .common import connected_components, cut, document_key, packed, shuffled, small
 
 SHINGLE, SEED, DISTANCE, BUCKET = 3, 42, 2, 32
 WIDTHS = (22, 21, 21)
@@ -172,17 +172,17 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     pairs at distance two or less would."""
     keyed = fps.select("fp").distinct().mapInArrow(_keys, "key long, fp long")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(keyed.join(shared, "key"))
+    met = cut(keyed.join(shuffled(shared), "key"))
     few = met.where(F.col("n") <= bucket).select("key", "fp")
     pairs = (
         few.select("key", F.col("fp").alias("u"))
-        .join(few.select("key", F.col("fp").alias("v")), "key")
+        .join(shuffled(few.select("key", F.col("fp").alias("v"))), "key")
         .where("u < v and bit_count(u ^ v) <= 2")
         .select("u", "v")
     )
     around = met.where(F.col("n") > bucket).select("fp").distinct().select("fp", F.explode(_nearest_words(F.col("fp"))).alias("word"))
     hub = around.groupBy("word").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("word", "hub")
-    stars = around.join(hub, "word").where("fp <> hub").select(F.col("hub").alias("u"), F.col("fp").alias("v"))
+    stars = around.join(shuffled(hub), "word").where("fp <> hub").select(F.col("hub").alias("u"), F.col("fp").alias("v"))
     return pairs.union(stars).distinct()
 
 
@@ -194,18 +194,18 @@ def _components(classes: DataFrame, bucket: int) -> DataFrame:
 
 def _least(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """``fp, component_id`` of ``classes`` (fp, rep) by ``labels`` (fp, label)."""
-    labelled = classes.join(labels, "fp", "left").select(
+    labelled = classes.join(shuffled(labels), "fp", "left").select(
         "fp", "rep", F.coalesce("label", "fp").alias("label")
     )
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return labelled.join(least, "label").select("fp", "component_id")
+    return labelled.join(shuffled(least), "label").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``."""
     rows = cut(fingerprints(docs))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    return rows.join(_components(classes, bucket), "fp").select(
+    return rows.join(shuffled(_components(classes, bucket)), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

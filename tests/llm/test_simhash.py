@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 import odd
-from quire.llm import queries, simhash
+from quire.llm import common, queries, simhash
 
 
 def plain_fingerprint(text):
@@ -104,3 +104,33 @@ def test_odd_rows(spark):
         assert kept.count() == len(groups) == len({simhash.fingerprint(r["text"]) for r in kept.collect()})
     assert simhash.near_duplicates(odd.empty(spark)).count() == 0
     assert simhash.keep_representatives(odd.empty(spark)).count() == 0
+
+
+def test_no_side_is_gathered_on_the_driver(spark):
+    """Whatever the threshold, neither the links nor the rounds of components broadcast a table."""
+    rng = random.Random(9)
+    fps = [rng.getrandbits(63) for _ in range(30)]
+    fps += [f ^ 1 << rng.randrange(63) for f in fps]
+    classes = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long")
+    docs = spark.createDataFrame([(i, f"some words {i % 5} and more") for i in range(40)], "doc_id long, text string")
+    met = []
+    seen = simhash.cut
+
+    def plan(df):
+        df.collect()  # adaptive execution settles the plan
+        met.append(df._jdf.queryExecution().executedPlan().toString())
+        return seen(df)
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        with_plans = {m: m.cut for m in (simhash, common)}
+        for m in with_plans:
+            m.cut = plan
+        simhash._components(classes, 3).collect()
+        plan(simhash.near_duplicates(docs))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for m, f in with_plans.items():
+            m.cut = f
+    assert any("SortMergeJoin" in x for x in met) and not any("Broadcast" in x for x in met)
