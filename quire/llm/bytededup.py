@@ -15,8 +15,8 @@ passage in a third of all documents costs one entry per batch.
 Resolution.  In a shard, occurrences of one segment (equal anchor and content
 hashes, 128 bits together) after the first are repeats as a whole.  Only
 anchors with several distinct segments need their bytes: these are fetched and
-each such shard's text gets a suffix array by induced sorting and its permuted
-common prefixes.  Neighbours that share ``length`` bytes form classes of equal
+what of each such shard's text may repeat (runs of windows whose hash occurs
+twice) gets a suffix array by induced sorting and its permuted common prefixes.  Neighbours that share ``length`` bytes form classes of equal
 windows, of which all but the earliest are repeats.  Should an anchor have over
 ``HOT`` distinct segments (a passage after which every document goes on
 differently), its segments are dealt out again as single windows by a hash of
@@ -264,8 +264,33 @@ def _fetched(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 1 else pa.int64()) for i, c in enumerate(columns)], names=["anchor", "bytes", "_d", "_t", "start", "n"])
 
 
+def _perhaps_repeated(pieces: list[bytes], d: np.ndarray, t: np.ndarray, start: np.ndarray, length: int):
+    """``pieces`` cut down to their runs of windows whose hash another window has.
+    Equal windows have equal hashes, so no repeat is lost."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    windows = sizes - length + 1
+    before = np.cumsum(windows) - windows
+    piece = np.repeat(np.arange(len(pieces)), windows)
+    offset = np.arange(len(piece)) - before[piece]
+    h = _gram_hashes(b"".join(pieces), length)[(np.cumsum(sizes) - sizes)[piece] + offset]
+    ordered = np.sort(h)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return [], d[:0], t[:0], start[:0]
+    may = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+    opens, ends = may.copy(), may.copy()
+    opens[1:] &= ~may[:-1] | (offset[1:] == 0)
+    ends[:-1] &= ~may[1:] | (offset[1:] == 0)
+    first, last = np.nonzero(opens)[0], np.nonzero(ends)[0]
+    of, lo, hi = piece[first], offset[first], offset[last] + length
+    return [pieces[i][x:y] for i, x, y in zip(of.tolist(), lo.tolist(), hi.tolist())], d[of], t[of], start[of] + lo
+
+
 def repeated_windows(pieces: list[bytes], d: np.ndarray, t: np.ndarray, start: np.ndarray, length: int = LENGTH):
     """(d, t, start, n): runs of windows in ``pieces`` equal to an earlier one."""
+    pieces, d, t, start = _perhaps_repeated(pieces, d, t, start, length)
+    if not pieces:
+        return d, t, start, start
     # Rank pieces, so that a window's (piece rank, offset) is its place in the corpus.
     order = np.lexsort((start, t, d))
     pieces = [pieces[i] for i in order]

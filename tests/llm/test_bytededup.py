@@ -87,6 +87,20 @@ def test_one_passage_with_many_continuations(spark):
     assert sum(r["bytes"] is not None for r in sent) == 20 and sum(r["n"] for r in sent if r["bytes"] is None) == 20 * 499
 
 
+def test_only_what_may_repeat_is_sorted(monkeypatch):
+    """Pieces with a gram but no window in common stay out of the suffix array; no repeat does."""
+    rng = random.Random(5)
+    some = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    gram, passage = some(32), some(150)
+    pieces = [some(60) + gram + some(60) for _ in range(2000)] + [some(30) + passage + some(40), some(10) + passage, b"a" * 130]
+    sorted_sizes = []
+    monkeypatch.setattr(bytededup, "suffix_array", lambda s, size: sorted_sizes.append(len(s)) or suffix_array(s, size))
+    where = np.arange(len(pieces))
+    got = bytededup.repeated_windows(pieces, where, where * 0, where * 0, 100)
+    assert list(zip(*(c.tolist() for c in got))) == [(2001, 0, 10, 51), (2002, 0, 1, 30)]
+    assert sum(sorted_sizes) < 500 and len(bytededup.repeated_windows(pieces[:2000], where[:2000], where[:2000] * 0, where[:2000] * 0, 100)[0]) == 0
+
+
 def test_query_against_brute_force(spark, sf_dir):
     docs = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert result(queries.op7_suffix_array(spark, sf_dir).collect()) == plain(docs, 100)
