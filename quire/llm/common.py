@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from quire.lineage import bounded, cut, ensure_checkpoint_dir  # noqa: F401
 
 NULL_ID = 2**63 - 1
+#: Edges of a block that a task connects at a time, and edges that one task may gather.
+FOREST_EDGES, GATHERED = 1 << 18, 1 << 20
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -60,15 +63,63 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of ``edges`` (u long, v long) by alternating large and small
-    stars: returns ``(node, label)`` with label the least node of the
-    component, for every node that has an edge.
-
-    Every round is an aggregation and a join on the executors; the driver only
-    sees one count and one checksum per round.
+def _least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node of each one's component) of edges held in memory."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        # Every root with a smaller neighbour hangs itself on the least one: half of the roots go in two rounds at least.
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    return nodes, nodes[root]
+
+
+def _forest(batches):
+    """Edges to stars that connect the same nodes, fewer than there are nodes, for each block."""
+    held, n = [], 0
+    for b in batches:
+        held.append((b.column("u").to_numpy(), b.column("v").to_numpy()))
+        n += b.num_rows
+        if n >= FOREST_EDGES:
+            yield _stars(held)
+            held, n = [], 0
+    if n:
+        yield _stars(held)
+
+
+def _stars(held: list) -> pa.RecordBatch:
+    nodes, least = _least_nodes(*map(np.concatenate, zip(*held)))
+    hung = nodes != least
+    return pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(least[hung])], names=["u", "v"])
+
+
+def _labels(batches):
+    """All edges, in one task, to ``node, label``."""
+    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if held:
+        nodes, least = _least_nodes(*map(np.concatenate, zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "label"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, gathered: int = GATHERED) -> DataFrame:
+    """Components of ``edges`` (u long, v long): returns ``(node, label)`` with
+    label the least node of the component, for every node that has an edge.
+
+    Tasks first turn their edges into stars that connect the same nodes.  At most
+    ``gathered`` of those (16 bytes each) are joined up by one task; more, by
+    alternating large and small stars until few enough are left or nothing
+    changes.  Every such round is an aggregation and a join on the executors; the
+    driver only sees counts, and a checksum per round.
     """
-    e = cut(edges.select("u", "v").where("u <> v").distinct())
+    e = cut(edges.select("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long"))
+    if e.count() <= gathered:
+        return e.coalesce(1).mapInArrow(_labels, "node long, label long")
+    e = cut(e.distinct())
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -85,6 +136,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or now[0] == 0:
             break
+        if now[0] <= gathered:
+            return e.coalesce(1).mapInArrow(_labels, "node long, label long")
         before = now
     else:
         raise RuntimeError("components did not settle")

@@ -15,6 +15,7 @@ rows are scored alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -92,27 +93,22 @@ def fit_ftrl(rows, labels, bits: int = BITS, passes: int = PASSES) -> tuple[np.n
     return state.model()
 
 
-def _pass(z: np.ndarray, n: np.ndarray):
-    """One pass over the rows of the (only) partition, from state to state."""
-
-    def rows(batches):
-        state = Ftrl()
-        state.z, state.n = z.copy(), n.copy()
-        for b in batches:
-            lists, y = b.column("x"), b.column("label").to_numpy()
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for i in range(b.num_rows):
-                state.learn(values[offsets[i] : offsets[i + 1]], y[i])
-        touched = np.nonzero((state.n != 0) | (state.z != 0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(touched), pa.array(state.z[touched]), pa.array(state.n[touched])], names=["i", "z", "n"])
-
-    return rows
+def _learned(batches):
+    """Every row of the (only) partition, in turn, to the model: non-zero weights, the intercept last."""
+    state = Ftrl()
+    for b in batches:
+        lists, y = b.column("x"), b.column("label").to_numpy()
+        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for i in range(b.num_rows):
+            state.learn(values[offsets[i] : offsets[i + 1]], y[i])
+    index, weight, intercept = state.model()
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(index, np.int32(state.size))), pa.array(np.append(weight, intercept))], names=["i", "w"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE):
     """Model from at most ``sample`` rows of each label outside the held-out
-    fold (those of least id hash).  An executor task streams the sample once a
-    pass; state of fixed size (``2**BITS`` coordinates at most) comes back."""
+    fold (those of least id hash).  One executor task streams the sample ``PASSES``
+    times; only the model's non-zero weights come back."""
     known = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder(3) != 1))
@@ -123,12 +119,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE):
     featured = texts_of(docs, chosen).mapInArrow(_featurise, "doc_id long, label int, x array<int>")
     # An order that has nothing to do with time or label.
     rows = cut(featured.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id"))
-    state = Ftrl()
-    for _ in range(PASSES):
-        told = rows.mapInArrow(_pass(state.z, state.n), "i long, z double, n double").toArrow()
-        i = told.column("i").to_numpy()
-        state.z[i], state.n[i] = told.column("z").to_numpy(), told.column("n").to_numpy()
-    return state.model()
+    # Copies of one partition are read one after another, in whichever order: the passes.
+    passes = reduce(DataFrame.union, [rows] * PASSES).coalesce(1)
+    told = passes.mapInArrow(_learned, "i int, w double").toArrow()
+    if not told.num_rows:
+        return Ftrl().model()
+    i, w = told.column("i").to_numpy(), told.column("w").to_numpy()
+    return i[:-1], w[:-1], float(w[-1])
 
 
 def _scores(model):
