@@ -2,26 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.lineage import cut
 
 
-def smallest_containing(segments: DataFrame, spans: DataFrame, keys: list[str], cell: int = 4096) -> DataFrame:
+#: Rows that a task sweeps at a time, at the least.
+SWEPT = 1 << 16
+
+
+def _least_before(group: np.ndarray, end: np.ndarray, point: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For rows in order: the least weight of the points of a row's group that
+    stand before it and end no earlier, or the number of rows if there is none.
+
+    Blocks of rows are halved again and again; the points of each left half, in
+    the order of their ends, hand their least weight on to the right half.
+    """
+    n = len(end)
+    at, least = np.arange(n), np.full(n, n)
+    order = np.lexsort((~point, np.negative(end), group))
+    for level in reversed(range(int(n - 1).bit_length())):
+        start = order >> level + 1 << level + 1
+        right = (order >> level & 1).astype(bool)
+        run = np.ones(n, np.int64)
+        run[1:] = (start[1:] != start[:-1]) | (group[order[1:]] != group[order[:-1]])
+        drop = np.cumsum(run) * (n + 1)  # every run lies below the one before, so one pass takes the minima of all
+        low = np.minimum.accumulate(np.where(point[order] & ~right, weight[order], n) - drop) + drop
+        least[order[right]] = np.minimum(least[order[right]], low[right])
+        before = np.cumsum(right) - right - (start >> 1)  # of the right half, so far in the block
+        halves = np.empty(n, np.int64)
+        halves[np.where(right, start + (1 << level) + before, at - before)] = order
+        order = halves
+    return least
+
+
+def _swept(keys: list[str], names: list[str], step: int):
+    """Segments and spans in order of group and start to spans with ``seg_ord``.
+
+    Of the open group's segments only those are held that no other outdoes in
+    both end and shortness, so nothing is paired and a group may have any size.
+    """
+
+    def sweep(batches: list) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        b = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        new = np.zeros(b.num_rows, bool)
+        for k in keys:
+            code = b.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        group, point = np.cumsum(new), ~b.column("_span").to_numpy(zero_copy_only=False)
+        start, end = (pc.fill_null(b.column(c), 0).to_numpy(zero_copy_only=False) for c in "se")
+        segments = np.nonzero(point)[0]
+        best = segments[np.lexsort((b.column("seg_ord").take(pa.array(segments)).to_numpy(zero_copy_only=False), (end - start)[segments]))]
+        weight = np.full(b.num_rows, b.num_rows)
+        weight[best] = np.arange(len(best))
+        spans = np.nonzero(~point)[0]
+        least = _least_before(group, end, point, weight)[spans]
+        found = pa.array(np.append(best, 0)[np.minimum(least, len(best))], mask=least == b.num_rows)
+        out = [b.column(c).take(pa.array(spans)) for c in names[:-1]] + [b.column("seg_ord").take(found)]
+        last = segments[group[segments] == group[-1]]
+        last = last[np.lexsort((weight[last], np.negative(end[last])))]
+        kept = np.ones(len(last), bool)
+        kept[1:] = weight[last[1:]] < np.minimum.accumulate(weight[last])[:-1]
+        return pa.RecordBatch.from_arrays(out, names=names), b.take(pa.array(last[kept]))
+
+    def rows(batches):
+        held, n, most = [], 0, step
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= most:
+                done, open_ = sweep(held)
+                yield done
+                held, n, most = [open_], open_.num_rows, max(step, 2 * open_.num_rows)
+        if n:
+            yield sweep(held)[0]
+
+    return rows
+
+
+def smallest_containing(segments: DataFrame, spans: DataFrame, keys: list[str], cell: int = 4096, step: int = SWEPT) -> DataFrame:
     """Each span (``s, e``) with the shortest segment that contains it, ties to
     the first (``seg_ord``); spans that none contains keep nulls.
 
     Both sides are dealt to cells of ``cell`` units: a segment to every cell
-    from its start's on, a span to its start's, so the join is by equality and
-    a long document does not pair all its spans with all its segments.
+    from its start's on, a span to its start's.  Each cell is swept once in the
+    order of starts, so spans are never paired with the segments around them.
     """
-    cells = F.sequence(F.floor(F.col("seg_s") / cell), F.floor(F.col("seg_e") / cell))
-    seg = segments.select(*keys, "seg_ord", F.col("s").alias("seg_s"), F.col("e").alias("seg_e"))
-    seg = seg.where("seg_e >= seg_s").withColumn("_cell", F.explode(cells))
-    found = spans.withColumn("_cell", F.floor(F.col("s") / cell)).join(seg, [*keys, "_cell"]).where("seg_s <= s and e <= seg_e")
-    best = found.groupBy(*keys, "span_id").agg(F.min(F.struct((F.col("seg_e") - F.col("seg_s")).alias("n"), "seg_ord")).alias("b"))
-    return spans.join(best.select(*keys, "span_id", F.col("b.seg_ord").alias("seg_ord")), [*keys, "span_id"], "left")
+    dealt = [*keys, "_cell"]
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, "e")])
+    seg = segments.select(*keys, "seg_ord", "s", "e").where(known & (F.col("e") >= F.col("s")))
+    seg = seg.withColumns({"_cell": F.explode(F.sequence(F.floor(F.col("s") / cell), F.floor(F.col("e") / cell))), "_span": F.lit(False)})
+    both = spans.withColumns({"_cell": F.when(known, F.floor(F.col("s") / cell)), "_span": F.lit(True)}).unionByName(seg, allowMissingColumns=True)
+    names = [*spans.columns, "seg_ord"]
+    swept = both.repartition(*dealt).sortWithinPartitions(*dealt, "s", "_span")
+    return swept.mapInArrow(_swept(dealt, names, step), T.StructType([T.StructField(n, both.schema[n].dataType) for n in names]))
 
 
 def resolve_up(nodes: DataFrame) -> DataFrame:

@@ -106,6 +106,29 @@ def test_graph(spark):
     assert sorted(r["target"] for r in cites.collect()) == ["4A", "5"]
 
 
+def test_containment_is_swept_not_paired(spark):
+    """Every span of a dense document against all segments by hand, in one cell and in many."""
+    import random
+
+    r = random.Random(7)
+    seg = [(d, i, s, s + r.choice((-1, 0, 3, 40, 700))) for d in "ab" for i in range(700) for s in [r.randrange(1500)]] + [(None, 0, 0, 9999), ("a", 900, None, 5), ("c", 1, 0, 10)]
+    span = [(d, i, s, s + r.randrange(9)) for d in "ab" for i in range(1500) for s in [r.randrange(1600)]] + [(None, 1, 5, 6), ("a", 9001, 5, None), ("b", 9002, None, 7), ("c", 1, 10, 11), ("c", 2, 10, 10)]
+    segments, spans = spark.createDataFrame(seg, "doc string, seg_ord int, s long, e long"), spark.createDataFrame(span, "doc string, span_id int, s long, e long")
+
+    def shortest(d, s, e):
+        inside = [(y - x, i) for k, i, x, y in seg if None not in (d, s, e, x) and k == d and x <= s and e <= y]
+        return min(inside)[1] if inside else None
+
+    want = {(d, i): shortest(d, s, e) for d, i, s, e in span}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # so that a step is more than one batch
+    for cell, step in ((4096, 1 << 16), (64, 1 << 16), (4096, 120)):
+        found = graph.smallest_containing(segments, spans, ["doc"], cell, step)
+        assert {(x["doc"], x["span_id"]): x["seg_ord"] for x in found.collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = graph.smallest_containing(segments, spans, ["doc"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_enriched_and_gold(spark, tmp_path):
     doc = {
         "text": "1 Title body", "segments": [{"id": "s0", "kind": "x", "parent": None, "children": [], "span": {"start": 0, "end": 12}, "title": {"start": 2, "end": 7}, "code": {"start": 0, "end": 1}}],
