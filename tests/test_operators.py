@@ -320,3 +320,24 @@ def test_texts_of_ranked_items_are_not_sorted(spark):
         assert all("SortMergeJoin" not in x._jdf.queryExecution().executedPlan().toString() for x in (e, r))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hybrid_vectors_apart_from_texts(spark, tmp_path):
+    """Texts are joined with no vector unless an id has two, and results are those of the SQL, which leaves an item without text out."""
+    import duckdb
+
+    from quire.plans import queries as Q
+
+    con = duckdb.connect()
+    for n, more in (("one", []), ("two", [(3, [0.5, 0.1], 1)])):
+        d = tmp_path / n
+        spark.createDataFrame([(i, t or "cap", "en", "web") for i, t in _words(60, 2)[:45]] + [(46, None, "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5) + i / 100], i % 3) for i in range(50)] + more, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+        spark.createDataFrame([(1, "fee cap"), (2, "tax rate day")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        for t in ("documents", "embeddings", "benchmark"):
+            con.sql(f"create or replace view {t} as select * from read_parquet('{d}/{t}.parquet/*.parquet')")
+        q, items, vectors = Q._hybrid_inputs(spark, str(d))
+        assert ("Join" in items._jdf.queryExecution().optimizedPlan().toString()) == bool(more) and (vectors is None) == bool(more)
+        found = {(r["query_id"], r["item_id"], r["dense_rank"], r["lexical_rank"]) for r in Q.rrf_fusion(spark, str(d)).collect()}
+        want = {r[:4] for r in con.sql(Q.ORACLES["rrf_fusion"]).fetchall()}
+        assert 46 not in {x[1] for x in found} and (more or found == want)
