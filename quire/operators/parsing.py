@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,33 +80,78 @@ def collapse_kind(kind: Column) -> Column:
     return F.when(kind.rlike("^(def_)?sub_"), "subclause").otherwise(kind)
 
 
+#: What every definition opens with.
+_QUOTES = "^[\"“'‘]"
+_MERGED = "doc_id string, line_id int, text string, absorbed array<int>"
+
+
+def _put(column: pa.Array, mask: np.ndarray, values: list) -> pa.Array:
+    return pc.replace_with_mask(column, pa.array(mask), pa.array(values, column.type))
+
+
+def _merged(reach: int):
+    patterns = [re.compile(p) for p in X.DEFINITION]
+
+    def width_at(texts: list[str], labels: list) -> tuple[int, re.Match | None]:
+        """How many of the lines that follow the first belong to its definition."""
+        for k in range(1, len(texts)):
+            if labels[k] not in ("text", "list_item", "footnote", "formula"):
+                break
+            hit = next((m for p in patterns if (m := p.match(" ".join(texts[: k + 1])))), None)
+            if hit:
+                return (0, None) if any(p.match(texts[0]) for p in patterns) else (k, hit)
+        return 0, None
+
+    def fold(b: pa.RecordBatch, stop: int) -> tuple[pa.RecordBatch, int]:
+        """Lines up to ``stop``, merged, and the place of the first that is not used."""
+        text, ids = pc.fill_null(b.column("text"), ""), b.column("line_id")
+        doc = b.column("doc_id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+        ends = np.append(np.nonzero(doc[1:] != doc[:-1])[0] + 1, b.num_rows)
+        opening = np.nonzero(pc.match_substring_regex(text, _QUOTES).to_numpy(zero_copy_only=False)[:stop])[0].tolist()
+        alone, done, merged = np.ones(b.num_rows, bool), 0, {}
+        for i in opening:
+            if i < done:
+                continue
+            n = min(reach + 1, int(ends[np.searchsorted(ends, i, "right")]) - i)
+            texts, members = text.slice(i, n).to_pylist(), ids.slice(i, n).to_pylist()
+            width, hit = width_at(texts, b.column("label").slice(i, n).to_pylist())
+            if width:
+                texts, members = texts[: width + 1], members[: width + 1]
+                words = [w for w in hit[0].split() if len(w) > 2][:3]
+                kept = next((m for m, t in zip(members, texts) if hit[0] in t or any(w in t for w in words)), members[0])
+                merged[i] = kept, " ".join(texts), [m for m in members if m != kept]
+                done = i + width + 1
+                alone[i + 1 : done] = False
+        stop = max(stop, done)
+        at = np.nonzero(alone[:stop])[0]
+        here = np.isin(at, list(merged))
+        lengths = np.zeros(len(at), np.int32)
+        lengths[here] = [len(x[2]) for x in merged.values()]
+        absorbed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array([m for x in merged.values() for m in x[2]], pa.int32()))
+        rows = pa.array(at)
+        new = [b.column("doc_id").take(rows), _put(ids.take(rows), here, [x[0] for x in merged.values()]), _put(text.take(rows), here, [x[1] for x in merged.values()]), absorbed]
+        return pa.RecordBatch.from_arrays(new, names=["doc_id", "line_id", "text", "absorbed"]), stop
+
+    def rows(batches):
+        held = None
+        for b in batches:
+            b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0] if held.num_rows else b
+            if b.num_rows > reach:
+                done, used = fold(b, b.num_rows - reach)
+                yield done
+                b = b.slice(used)
+            held = b
+        if held is not None and held.num_rows:
+            yield fold(held, held.num_rows)[0]
+
+    return rows
+
+
 def merge_definitions(lines: DataFrame, reach: int = 3) -> DataFrame:
     """Definitions split over up to ``reach`` following lines put together:
     ``doc_id, line_id, text, absorbed``.  Greedy from the top of a document, a
     truly sequential rule; the kept id is the first member that holds the words
-    the definition opens with."""
-    patterns = [re.compile(p) for p in X.DEFINITION]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line_id")
-        ids, texts, labels = rows["line_id"].tolist(), rows["text"].fillna("").tolist(), rows["label"].tolist()
-        out, i = [], 0
-        while i < len(ids):
-            width, kept = 0, ids[i]
-            for k in range(1, reach + 1):
-                if i + k >= len(ids) or not all(x in ("text", "list_item", "footnote", "formula") for x in labels[i + 1 : i + k + 1]):
-                    break
-                whole = " ".join(texts[i : i + k + 1])
-                hit = next((m for p in patterns if (m := p.match(whole))), None)
-                if hit and not any(p.match(texts[i]) for p in patterns):
-                    opening = [w for w in hit[0].split() if len(w) > 2][:3]
-                    kept = next((ids[j] for j in range(i, i + k + 1) if hit[0] in texts[j] or any(w in texts[j] for w in opening)), ids[i])
-                    width = k
-                    break
-            members = ids[i : i + width + 1]
-            out.append((rows["doc_id"].iloc[0], kept, " ".join(texts[i : i + width + 1]), [m for m in members if m != kept]))
-            i += width + 1
-        return pd.DataFrame(out, columns=["doc_id", "line_id", "text", "absorbed"])
-
-    chosen = lines.select(F.col("doc_id").cast("string"), F.col("line_id").cast("int"), "text", "label")
-    return chosen.groupBy("doc_id").applyInPandas(fold, "doc_id string, line_id int, text string, absorbed array<int>")
+    the definition opens with.  Documents stream by in line order, and only
+    lines that open with a quotation mark are looked at one by one."""
+    chosen = lines.select(F.col("doc_id").cast("string"), F.col("line_id").cast("int"), F.col("text").cast("string"), F.col("label").cast("string"))
+    return chosen.repartition("doc_id").sortWithinPartitions("doc_id", F.col("line_id").asc_nulls_last()).mapInArrow(_merged(reach), _MERGED)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire import models, streaming
 from quire.functions import text as X
 from quire.functions import vector as V
-from quire.operators import chunking, evaluate, graph, lines, relational, tree
+from quire.operators import chunking, evaluate, graph, lines, parsing, relational, tree
 from quire.sources import read_enriched, read_gold, read_ocr, sinks
 
 
@@ -341,3 +341,43 @@ def test_hybrid_vectors_apart_from_texts(spark, tmp_path):
         found = {(r["query_id"], r["item_id"], r["dense_rank"], r["lexical_rank"]) for r in Q.rrf_fusion(spark, str(d)).collect()}
         want = {r[:4] for r in con.sql(Q.ORACLES["rrf_fusion"]).fetchall()}
         assert 46 not in {x[1] for x in found} and (more or found == want)
+
+
+def test_definitions_are_merged_as_one_by_one(spark):
+    """Streamed lines against the rule followed line by line, whatever the batches; no document is a group of its own."""
+    import random
+    import re
+
+    r = random.Random(5)
+    some = ['"Fee"', '"Fee" means', "means the sum", "of all parts;", "", None, "“Cap”", "shall mean a limit", "'Tax' is due", "plain line", '"Term', 'of Years" means long', "‘Day’", "or"]
+    rows = [(d, i, r.choice(some), r.choice(["text", "text", "text", "list_item", "page_header", None])) for d in ("a", "b", None) for i in range(300)] + [(f"s{n}", 1, "alone", "text") for n in range(20)]
+    patterns = [re.compile(p) for p in X.DEFINITION]
+
+    def by_hand(rows):
+        ids, texts, labels = [x[1] for x in rows], [x[2] or "" for x in rows], [x[3] for x in rows]
+        i = 0
+        while i < len(ids):
+            width, kept = 0, ids[i]
+            for k in range(1, 4):
+                if i + k >= len(ids) or any(x not in ("text", "list_item", "footnote", "formula") for x in labels[i + 1 : i + k + 1]):
+                    break
+                hit = next((m for p in patterns if (m := p.match(" ".join(texts[i : i + k + 1])))), None)
+                if hit and not any(p.match(texts[i]) for p in patterns):
+                    words = [w for w in hit[0].split() if len(w) > 2][:3]
+                    kept = next((ids[j] for j in range(i, i + k + 1) if hit[0] in texts[j] or any(w in texts[j] for w in words)), ids[i])
+                    width = k
+                    break
+            yield rows[0][0], kept, " ".join(texts[i : i + width + 1]), tuple(m for m in ids[i : i + width + 1] if m != kept)
+            i += width + 1
+
+    want = [x for d in {x[0] for x in rows} for x in by_hand([x for x in rows if x[0] == d])]
+    frame = spark.createDataFrame(rows, "doc_id string, line_id int, text string, label string")
+    try:
+        for size in ("10000", "7", "2"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found = parsing.merge_definitions(frame)
+            got = [(x["doc_id"], x["line_id"], x["text"], tuple(x["absorbed"])) for x in found.collect()]
+            assert sorted(got, key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert any(x[3] for x in want) and "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
