@@ -381,3 +381,14 @@ def test_definitions_are_merged_as_one_by_one(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert any(x[3] for x in want) and "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_missing_keys_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks hold a bounded number of keys; nulls match nothing, repeated keys count once."""
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y"), (None, "z")], "k int, m string")
+    b = spark.createDataFrame([(3, "y"), (2, None), (4, "y")], "k int, m string")
+    monkeypatch.setattr(evaluate, "KEYS", 3)
+    found = evaluate.missing(a, b, ["k", "m"])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "x", "expected"), (2, None, "expected"), (None, "z", "expected"), (2, None, "actual"), (4, "y", "actual")], key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Join" not in plan
