@@ -383,6 +383,18 @@ def test_definitions_are_merged_as_one_by_one(spark):
     assert any(x[3] for x in want) and "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sections_are_merged_in_one_pass(spark):
+    """Each section by its own rules, as if merged apart; the lines are read once."""
+    rows = [("d", i, t, "text", s) for i, (t, s) in enumerate([("The fee is", "definitions"), ("x = y", "definitions"), ("owed to", "definitions"), ("the owner", "body"), ("is = 4", "body"), ("Signed by", "annex"), ("the director", "annex"), ("of works and", "annex"), ("roads", "annex")])]
+    frame = spark.createDataFrame(rows, "doc_id string, line_id int, text string, label string, section string")
+    got = {(r["section"], r["line_id"], r["text"], tuple(r["absorbed"])) for r in lines.merge_fragments(frame, None).collect()}
+    apart = {(s, r["line_id"], r["text"], tuple(r["absorbed"])) for s in ("definitions", "body", "annex") for r in lines.merge_fragments(frame.where(F.col("section") == s), s).collect()}
+    assert got == apart and len({x[0] for x in got}) == 3
+    raw = frame.drop("section").withColumns({"page": F.lit(1), "annex_page": F.lit(2)})
+    none = spark.createDataFrame([], "doc_id string, line_id int, pattern string, replacement string, prepend string")
+    assert lines.flatten_text(raw, none)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
 def test_missing_keys_are_dealt_by_their_number(spark, monkeypatch):
     """Tasks hold a bounded number of keys; nulls match nothing, repeated keys count once."""
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y"), (None, "z")], "k int, m string")
