@@ -404,3 +404,27 @@ def test_missing_keys_are_dealt_by_their_number(spark, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "x", "expected"), (2, None, "expected"), (None, "z", "expected"), (2, None, "actual"), (4, "y", "actual")], key=str)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "Join" not in plan
+
+
+def test_dense_search_is_one_python_stage(spark, monkeypatch):
+    """Query vectors are told to the tasks or joined, with the same results; told, no pairs of packs are made."""
+    import random
+
+    from quire.operators import search
+
+    r = random.Random(9)
+    items = spark.createDataFrame([(i, [float(r.randrange(5)) for _ in range(3)]) for i in range(500)], "item_id long, vec array<float>").repartition(3)
+    queries = items.where("item_id % 9 = 0").selectExpr("item_id AS query_id", "vec AS qvec")
+    got = []
+    for told in (search.TOLD_BYTES, -1):
+        monkeypatch.setattr(search, "TOLD_BYTES", told)
+        found = search.dense_topk(queries, items, 6)
+        got.append(sorted(tuple(x) for x in found.collect()))
+        assert ("Join" in found._jdf.queryExecution().executedPlan().toString()) == (told < 0)
+    vectors = {x["item_id"]: x["vec"] for x in items.collect() if any(x["vec"])}
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+
+    want = {(q, n): s for q in vectors if q % 9 == 0 for n, s in enumerate(sorted((cosine(vectors[q], v) for v in vectors.values()), reverse=True)[:6], 1)}
+    assert got[0] == got[1] and {(q, n): s for q, _, s, n in got[0]} == pytest.approx(want)
